@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
+from drayline.llm.packing import count_tokens, pack, packing_quality
 from drayline.llm.survivorship import retained_values, surviving_values
 from drayline.llm.truncation import judge_endings, truncation_rates
 from drayline.sources import read_table
@@ -42,7 +43,24 @@ def p5_retained(spark: SparkSession, root: str) -> DataFrame:
     return retained_values(read_table(spark, root, "cluster_members"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
+def p8_pack(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's pieces with their container of 2,048 tokens."""
+    return pack(count_tokens(read_table(spark, root, "documents")), 2048)
+
+
+def p8_pack_512(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's pieces with their container of 512 tokens."""
+    return pack(count_tokens(read_table(spark, root, "documents")), 512)
+
+
+def p8_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Containers used and room left unused, for both capacities."""
+    tokens = count_tokens(read_table(spark, root, "documents"))
+    rows = [packing_quality(pack(tokens, c), c).withColumn("capacity", F.lit(c)) for c in (512, 2048)]
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 SQL: dict[str, str] = {
     "p7_found": """
