@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
+from drayline.llm.names import linked_pairs, resolve_names
 from drayline.llm.packing import count_tokens, pack, packing_quality
 from drayline.llm.survivorship import retained_values, surviving_values
 from drayline.llm.truncation import judge_endings, truncation_rates
@@ -60,7 +61,12 @@ def p8_quality(spark: SparkSession, root: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of customers whose names mean the same person or organisation."""
+    return linked_pairs(resolve_names(read_table(spark, root, "customers")))
+
+
+QUERIES = {"p3_found": p3_found, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 SQL: dict[str, str] = {
     "p7_found": """
