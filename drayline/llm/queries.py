@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drayline.llm.addresses import located_pairs, resolve_addresses
 from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
 from drayline.llm.names import linked_pairs, resolve_names
@@ -66,7 +67,13 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_pairs(resolve_names(read_table(spark, root, "customers")))
 
 
-QUERIES = {"p3_found": p3_found, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of customers and sites whose addresses denote the same location."""
+    tables = [read_table(spark, root, t).select(F.col("id").alias("record_id"), "address", "city", "zip") for t in ("customers", "sites")]
+    return located_pairs(resolve_addresses(tables[0].unionByName(tables[1])))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 SQL: dict[str, str] = {
     "p7_found": """
