@@ -1,9 +1,10 @@
 """Joining a set of spellings with itself within a bounded edit distance, by sharded tries.
 
 A spelling is indexed under its first and its last half and looked up under every half that it can share with a neighbour;
-one edit always leaves one half whole. Spellings of one shard form a trie, through which a Levenshtein automaton (its state is
-a row of distances, swapped neighbours counting as one edit) enumerates the neighbours of each looked-up spelling.
-Two edits are found wherever both fall into the same half.
+one edit always leaves one half whole. It also stands under its sorted letters, whole and less one, which swaps
+leave as they are. Spellings of one shard form a trie, through which a Levenshtein automaton (its state is a row of
+distances, swapped neighbours counting as one edit) enumerates the neighbours of each looked-up spelling. So one edit is
+always found, and two are wherever both fall into the same half or one of them is a swap.
 """
 
 from __future__ import annotations
@@ -63,12 +64,14 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
     trie: dict = {}
     for w in indexed:
         node = trie
-        for letter in w[half:] if side == "p" else w[: len(w) - half]:
+        for letter in w[half:] if side != "s" else w[: len(w) - half]:
             node = node.setdefault(letter, {})
         # equal rests mean equal words, as the other half is shared
         node[_END] = w
+    if len(indexed) == 1 and asked == indexed:
+        return
     for q in asked:
-        rest = q[half:] if side == "p" else q[: len(q) - half]
+        rest = q[half:] if side != "s" else q[: len(q) - half]
         for w, d in neighbours(trie, rest, bound(len(q))):
             if w != q and d <= bound(len(w)):
                 yield q, w, d
@@ -90,8 +93,12 @@ def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
     index = w.withColumn("h", own.cast("int")).select("word", F.lit(True).alias("indexed"), F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard"))
     ask = w.withColumn("h", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]), lambda k: F.floor((n + k) / 2).cast("int"))))).where("h > 0 and h <= length(word)")
     ask = ask.select("word", F.lit(False).alias("indexed"), F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard"))
-    entries = index.unionByName(ask)
-    total = 8.0 * max(1, w.count())
+    letters = F.array_sort(F.split("word", ""))
+    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
+    sorted_keys = w.where("length(word) >= 8").withColumn("letters", letters).select("word", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))).alias("shard"))
+    both = sorted_keys.select("word", F.explode(F.array(F.lit(True), F.lit(False))).alias("indexed"), "shard")
+    entries = index.unionByName(ask).unionByName(both)
+    total = 24.0 * max(1, w.count())
     ways = {k: min(64, int(s * total / BLOCK_ROWS) + 1) for k, s in hot_keys(entries, F.col("shard"), SHARD_SHARE).items()}
     ways = {k: x for k, x in ways.items() if x > 1}
     if ways:
