@@ -73,3 +73,24 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_status": p4_status, "p6_found": p6_found, "p6_report": p6_report}
+
+_ORPHANS = r"""
+with target as (
+  select 'site' rel, '' job, upper(trim(id, E' \t\n\r')) k, recorded_at f, deleted_at u from sites
+  union select 'container', '', ltrim(regexp_extract(id, '([0-9]+)[^0-9]*$', 1), '0'), recorded_at, deleted_at from containers
+  union select 'entity', job_id, upper(trim(id, E' \t\n\r')), recorded_at, deleted_at from resolved_entities
+), ref as (
+  select distinct 'site' rel, '' job, upper(trim(site_id, E' \t\n\r')) k, 'containers' table_name, id record_id, recorded_at t from containers
+  union select 'container', '', ltrim(regexp_extract(container_id, '([0-9]+)[^0-9]*$', 1), '0'), 'agreements', id, recorded_at from agreements where trim(container_id) <> ''
+  union select 'entity', job_id, upper(trim(resolved_entity_id, E' \t\n\r')), 'exceptions', id, created_at from exceptions
+), judged as (
+  select table_name, record_id, t, count(g.k) n, bool_or(g.f <= t and (g.u is null or g.u > t)) ok, bool_or(g.u <= t) gone
+  from ref left join target g using (rel, job, k) where k <> '' group by all
+), orphan as (
+  select table_name, record_id, case when n = 0 then 'missing' when gone then 'deleted' else 'late' end as reason, strftime(t, '%Y-%m') as period from judged where ok is not true
+)
+"""
+SQL = {
+    "p6_found": _ORPHANS + "select distinct table_name, record_id, reason, period from orphan",
+    "p6_report": _ORPHANS + "select table_name, period, reason, count(*) as orphans from orphan group by all",
+}

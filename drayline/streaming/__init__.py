@@ -1 +1 @@
-
+"""Continuous intake of files."""
