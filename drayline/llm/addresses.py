@@ -178,7 +178,7 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
 
     # towns: slips go to the spelling that is far more frequent; a zip's town is the one that most of its addresses name
     towns = materialize(parts.where("town is not null").groupBy("town").agg(F.count("*").alias("n")))
-    town_roots = materialize(_roots(towns, trie_join(towns, "town"), TOWN_TIMES, [], "town"))
+    town_roots = materialize(_roots(towns, trie_join(towns.select(F.lit("").alias("scope"), F.col("town").alias("word"))).drop("scope"), TOWN_TIMES, [], "town"))
     placed = parts.join(town_roots, "town", "left")
     by_zip = placed.where("root is not null and zip is not null").groupBy("zip", "root").agg(F.count("*").alias("n"))
     zips = by_zip.groupBy("zip").agg(F.max_by("root", F.struct("n", "root")).alias("zip_town"), F.max("n").alias("most"), F.sum("n").alias("all")).where(F.col("most") >= ZIP_SHARE * F.col("all")).select("zip", "zip_town")
@@ -191,7 +191,8 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
 
     # the beam: a street name as written, and its nearest spellings where it may be a slip for one of the same town
     cores = materialize(placed.where("kind <> 'box'").groupBy("core").agg(F.count("*").alias("n")))
-    edges = trie_join(cores.select(F.col("core").alias("word")))
+    local = placed.where("kind <> 'box'").select(F.col("town").alias("scope"), F.col("core").alias("word")).distinct()
+    edges = trie_join(local).groupBy("a", "b").agg(F.min("d").alias("d"))
     far = cores.select(F.col("core").alias("b"), F.col("n").alias("n_b"))
     ahead = edges.join(cores.select(F.col("core").alias("a"), "n"), "a").join(far, "b").where((F.col("n_b") >= SLIP_TIMES * F.col("n")) | ((F.col("n_b") >= F.col("n")) & (F.col("n") <= 2)))
     best = Window.partitionBy("a").orderBy("d", F.desc("n_b"), "b")

@@ -77,27 +77,36 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
                 yield q, w, d
 
 
-def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
-    """``(a, b, d)``: every two different spellings within the bounded distance, in both directions.
+def trie_join(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``(scope, a, b, d)``: different spellings of one scope within the bounded distance.
 
-    ``words`` holds each spelling once; nulls and spellings too short for any edit have no neighbours. An empty table gives
-    no rows; other columns are not read.
+    ``words`` holds ``scope`` and ``word``, each pair once. ``asked``, of the same form, says for which spellings neighbours
+    ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. Nulls and
+    spellings too short for any edit have no neighbours. An empty table gives no rows; other columns are not read.
     """
-    w = words.select(F.col(column).alias("word")).where("length(word) >= 4")
+    symmetric = asked is None
     n = F.length("word")
-    own = F.floor(n / 2)
+
     def shard(side: str, h: str) -> str:
         text = f"substring(word, 1, {h})" if side == "p" else f"right(word, {h})"
         return f"concat('{side}', {h}, ':', {text})"
 
-    index = w.withColumn("h", own.cast("int")).select("word", F.lit(True).alias("indexed"), F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard"))
-    ask = w.withColumn("h", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]), lambda k: F.floor((n + k) / 2).cast("int"))))).where("h > 0 and h <= length(word)")
-    ask = ask.select("word", F.lit(False).alias("indexed"), F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard"))
+    halves = F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard")
     letters = F.array_sort(F.split("word", ""))
     less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
-    sorted_keys = w.where("length(word) >= 8").withColumn("letters", letters).select("word", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))).alias("shard"))
-    both = sorted_keys.select("word", F.explode(F.array(F.lit(True), F.lit(False))).alias("indexed"), "shard")
-    entries = index.unionByName(ask).unionByName(both)
+    every = F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))
+
+    def entries_of(df: DataFrame, indexed: bool) -> DataFrame:
+        w = df.select("scope", "word").where("scope is not null and length(word) >= 4")
+        steps = (0,) if indexed else (-2, -1, 0, 1, 2)
+        h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / 2).cast("int")))
+        by_half = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), halves)
+        by_letters = w.where("length(word) >= 8").withColumn("letters", letters).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
+        return by_half.unionByName(by_letters)
+
+    w = words
+    entries = entries_of(words, True).unionByName(entries_of(words if symmetric else asked, False))
+    entries = entries.withColumn("shard", F.concat_ws("\x1f", "shard", "scope"))
     total = 24.0 * max(1, w.count())
     ways = {k: min(64, int(s * total / BLOCK_ROWS) + 1) for k, s in hot_keys(entries, F.col("shard"), SHARD_SHARE).items()}
     ways = {k: x for k, x in ways.items() if x > 1}
@@ -113,12 +122,13 @@ def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, indexed, asked = None, [], []
-        out: list[tuple[str, str, int]] = []
+        out: list[tuple[str, str, str, int]] = []
 
         def close() -> None:
             if current is not None and indexed and asked:
                 side, _, rest = current[0].partition(":")
-                out.extend(_shard_pairs(side[0], int(side[1:]), indexed, asked))
+                scope = rest.partition("\x1f")[2]
+                out.extend((scope, *found) for found in _shard_pairs(side[0], int(side[1:]), indexed, asked))
 
         for batch in batches:
             for s, b, word, is_index in zip(batch["shard"], batch["block"], batch["word"], batch["indexed"], strict=True):
@@ -126,11 +136,11 @@ def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
                     close()
                     current, indexed, asked = (s, b), [], []
                 (indexed if is_index else asked).append(word)
-            yield pd.DataFrame(out, columns=["a", "b", "d"])
+            yield pd.DataFrame(out, columns=["scope", "a", "b", "d"])
             out = []
         close()
-        yield pd.DataFrame(out, columns=["a", "b", "d"])
+        yield pd.DataFrame(out, columns=["scope", "a", "b", "d"])
 
     placed = entries.repartition(parallelism_of(entries), "shard", "block").sortWithinPartitions("shard", "block")
-    found = placed.mapInPandas(search, "a string, b string, d int")
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+    found = placed.mapInPandas(search, "scope string, a string, b string, d int")
+    return found.groupBy("scope", "a", "b").agg(F.min("d").alias("d"))
