@@ -101,7 +101,7 @@ def trie_join(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
         steps = (0,) if indexed else (-2, -1, 0, 1, 2)
         h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / 2).cast("int")))
         by_half = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), halves)
-        by_letters = w.where("length(word) >= 8").withColumn("letters", letters).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
+        by_letters = w.withColumn("letters", letters).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
         return by_half.unionByName(by_letters)
 
     w = words
@@ -143,4 +143,7 @@ def trie_join(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 
     placed = entries.repartition(parallelism_of(entries), "shard", "block").sortWithinPartitions("shard", "block")
     found = placed.mapInPandas(search, "scope string, a string, b string, d int")
+    if symmetric:
+        # of two edits, one direction may share a half that the other doesn't look up
+        found = found.select("scope", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "d").select("scope", "p.a", "p.b", "d")
     return found.groupBy("scope", "a", "b").agg(F.min("d").alias("d"))
