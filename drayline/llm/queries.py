@@ -10,7 +10,7 @@ from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
 from drayline.llm.names import linked_pairs, resolve_names
 from drayline.llm.packing import count_tokens, pack, packing_quality
-from drayline.llm.survivorship import retained_values, surviving_values
+from drayline.llm.survivorship import FILLERS, retained_values, surviving_values
 from drayline.llm.truncation import judge_endings, truncation_rates
 from drayline.sources import read_table
 
@@ -75,7 +75,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
+#: The value to keep, stated plainly: the usable one of the latest time.
+_SURVIVORS = r"""
+with m as (select distinct cluster_id, record_id, updated_at, name, phone, email, address from cluster_members),
+l as (select cluster_id, record_id, updated_at, u.f field_name, u.v as value from (select *, unnest([{'f': 'name', 'v': name}, {'f': 'phone', 'v': phone}, {'f': 'email', 'v': email}, {'f': 'address', 'v': address}]) u from m) where trim(u.v) <> ''),
+d as (select *, lower(trim(regexp_replace(value, '\s+', ' ', 'g'))) p, regexp_replace(regexp_replace(value, '[^0-9]', '', 'g'), '^1([0-9]{10})$', '\1') g, regexp_matches(value, '[\x{FFFD}\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{80}-\x{9F}]') damaged from l),
+e as (select *, case when field_name = 'phone' and length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 then g else p end fact,
+  case field_name when 'phone' then regexp_matches(g, '^[2-9][0-9]{2}[2-9][0-9]{6}$') and regexp_matches(value, '^[+]?[0-9(][0-9 ().\-/]*$') and replace(g, left(g, 1), '') <> ''
+   when 'email' then regexp_matches(p, '^[a-z0-9][a-z0-9._%+-]*@[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9-]+)*\.[a-z]{2,}$') and not contains(p, '..')
+   when 'address' then regexp_matches(p, '[0-9]') and regexp_matches(p, '\p{L}{2,}') else regexp_matches(p, '\p{L}{2,}') end and not damaged and p not in (FILLERS) form from d),
+shared as (select field_name, fact from e where field_name <> 'address' group by all having count(distinct cluster_id) >= 12 and count(distinct cluster_id) >= 0.0005 * (select count(distinct cluster_id) from e)),
+u as (select * from e where form and (field_name, fact) not in (select field_name, fact from shared)
+  and not exists (select 1 from e o where o.cluster_id = e.cluster_id and o.field_name = e.field_name and not o.damaged and length(o.fact) > length(e.fact) and contains(o.fact, e.fact))),
+b as (select cluster_id, field_name, arg_max(value, (coalesce(updated_at, timestamptz '0001-01-01'), value)) v from u group by all)
+select cluster_id, field_name, min(record_id) as record_id from u join b using (cluster_id, field_name) where value = v group by all""".replace("FILLERS", ", ".join(f"'{x}'" for x in FILLERS))
+
 SQL: dict[str, str] = {
+    "p5_found": _SURVIVORS,
     "p7_found": """
 with recursive edge as (
   select left_id a, right_id b from match_pairs where is_match and trim(left_id) <> '' and trim(right_id) <> ''
