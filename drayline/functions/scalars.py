@@ -93,7 +93,7 @@ def normalize_company_name(text: Column) -> Column:
         return F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
 
     title = F.array_join(F.transform(F.split(stem, " "), capital), " ")
-    return F.when(v == "", "").otherwise(F.concat_ws(" ", F.nullif(title, F.lit("")), form))
+    return F.when(v == "", "").when(v.isNotNull(), F.concat_ws(" ", F.nullif(title, F.lit("")), form))
 
 
 def cents_of(text: Column) -> Column:

@@ -52,6 +52,10 @@ def _int(text: Column) -> Column:
     return text.try_cast("int")
 
 
+def _is_zone(name: Column) -> Column:
+    return F.try_to_timestamp(F.concat(F.lit("2000-01-01 00:00:00 "), name)).isNotNull()
+
+
 def to_instant(local: Column, zone: Column) -> Column:
     """UTC microseconds of local microseconds in a zone: the only instant shown so, null if there is none or are two."""
 
@@ -96,7 +100,8 @@ def readings(values: DataFrame, zone_col: str = "time_zone") -> DataFrame:
         .when(zone.rlike("^[A-Z]{3,5}$"), _lookup(ABBREVIATIONS, zone))
     )
     df = df.withColumn("_time", time).withColumn("_offset", offset.cast("long")).withColumn("_name", F.when(zone.contains("/"), name).when(zone == "", own))
-    df = df.withColumn("_known", F.when(F.col("_name").isNotNull(), F.try_to_timestamp(F.concat(F.lit("2000-01-01 00:00:00 "), "_name")).isNotNull()))
+    # the sources' own zones were checked once; only names in the text itself are checked here
+    df = df.withColumn("_known", F.when(zone.contains("/"), _is_zone(F.col("_name"))).otherwise(F.col("_name").isNotNull()))
 
     # one spelling for all: month names as numbers, four-digit years
     month = F.lower(F.regexp_extract(date, "([A-Za-z]{3})", 1))
@@ -168,6 +173,7 @@ def normalize_timestamps(values: DataFrame, systems: DataFrame) -> DataFrame:
     begin with ``_``.
     """
     known = systems.where("kind is not null").groupBy(F.col("kind").alias("source")).agg(F.min("time_zone").alias("time_zone"), F.min(F.lower("date_order")).alias("date_order"))
+    known = known.withColumn("time_zone", F.when(_is_zone(F.col("time_zone")), F.col("time_zone")))
     keep = [c for c in values.columns if c not in ("time_zone", "date_order", "set", "status", "utc_micros")]
     values = values.select(*keep)
     known = materialize(known)
@@ -201,7 +207,7 @@ def normalize_timestamps(values: DataFrame, systems: DataFrame) -> DataFrame:
     # a day that only the order opposite to the declared one can read is no date
     orders = {name: NOTATIONS.index(name) for name in ("mdy", "dmy")}
     declared = F.when(F.col("date_order") == "mdy", F.col("_readings")[orders["mdy"]]).when(F.col("date_order") == "dmy", F.col("_readings")[orders["dmy"]])
-    against = F.col("date_order").isin("mdy", "dmy") & F.col("_pick").isin(*orders.values()) & declared.isNull()
+    against = F.coalesce(F.col("date_order").isin("mdy", "dmy") & F.col("_pick").isin(*orders.values()) & declared.isNull(), F.lit(False))
     out = out.withColumn("_against", against)
     out = out.withColumn("_local", F.when(~F.col("_against"), F.col("_readings")[F.col("_pick")] + F.col("_time")))
     absolute = F.col("_pick") >= NOTATIONS.index("seconds")

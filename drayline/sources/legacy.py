@@ -59,8 +59,8 @@ def fixed_cells(line: Column) -> Column:
 
 def unique_headers(cells: Column) -> Column:
     """Trimmed headers without empty ones and later repeats in any case; cells are not moved along."""
-    trimmed = F.filter(F.transform(cells, F.trim), lambda c: c != "")
-    lower = F.transform(trimmed, F.lower)
+    trimmed = F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c != "")
+    lower = F.transform(trimmed, lambda c: F.lower(c))
     return F.filter(trimmed, lambda c, i: F.array_position(lower, F.lower(c)) == i + 1)
 
 
