@@ -4,7 +4,8 @@ A spelling is indexed under its first and its last half and looked up under ever
 one edit always leaves one half whole. It also stands under its sorted letters, whole and less one, which swaps
 leave as they are. Spellings of one shard form a trie, through which a Levenshtein automaton (its state is a row of
 distances, swapped neighbours counting as one edit) enumerates the neighbours of each looked-up spelling. So one edit is
-always found, and two are wherever both fall into the same half or one of them is a swap.
+always found, and two are wherever both fall into the same half or one of them is a swap. Shards by thirds instead of halves
+find two edits unless one falls into the first and one into the last third; their tries are larger.
 """
 
 from __future__ import annotations
@@ -77,12 +78,13 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
                 yield q, w, d
 
 
-def trie_join(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def trie_join(words: DataFrame, asked: DataFrame | None = None, parts: int = 2) -> DataFrame:
     """``(scope, a, b, d)``: different spellings of one scope within the bounded distance.
 
     ``words`` holds ``scope`` and ``word``, each pair once. ``asked``, of the same form, says for which spellings neighbours
     ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. Nulls and
-    spellings too short for any edit have no neighbours. An empty table gives no rows; other columns are not read.
+    spellings too short for any edit have no neighbours. ``parts`` is 2 for shards by halves (and sorted letters) or 3 for
+    thirds. An empty table gives no rows; other columns are not read.
     """
     symmetric = asked is None
     n = F.length("word")
@@ -99,8 +101,10 @@ def trie_join(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     def entries_of(df: DataFrame, indexed: bool) -> DataFrame:
         w = df.select("scope", "word").where("scope is not null and length(word) >= 4")
         steps = (0,) if indexed else (-2, -1, 0, 1, 2)
-        h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / 2).cast("int")))
+        h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / parts).cast("int")))
         by_half = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), halves)
+        if parts != 2:
+            return by_half
         by_letters = w.withColumn("letters", letters).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
         return by_half.unionByName(by_letters)
 
