@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from drayline.plans.skew import hot_keys, parallelism_of
 #: Shards with more than this share of the entries are split into blocks of about BLOCK_ROWS.
 SHARD_SHARE = 1 / 2000
 BLOCK_ROWS = 4000
+#: Shards with so many combinations are searched for many words at once, in batches of so many words.
+BATCH_FROM, BATCH_ROWS = 400, 1000
 _END = ""
 
 
@@ -61,19 +64,105 @@ def neighbours(trie: dict, word: str, most: int) -> list[tuple[str, int]]:
     return found
 
 
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Letters of the words as numbers, filled up with 0."""
+    if not width:
+        return np.zeros((len(words), 0), np.int64)
+    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32)
+    return flat.reshape(len(words), width).astype(np.int64)
+
+
+def neighbours_of_all(indexed: list[str], asked: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`neighbours` finds, for all asked words at once: their numbers, those of the found words, the distances.
+
+    The trie is walked level by level; the states of all automata at all nodes of a level are rows of one array.
+    """
+    depth, width = max(map(len, indexed)), max(map(len, asked))
+    order = np.argsort(np.array(indexed, object), kind="stable")
+    tree, length = _codes([indexed[k] for k in order], depth + 1), np.array([len(indexed[k]) for k in order])
+    text, goal = _codes(asked, width), np.array([len(q) for q in asked])
+    # of each level the node that every word passes; words of one node stand together
+    node_of = np.zeros(len(indexed), np.int64)
+    columns = np.arange(width + 1)
+    ask, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+    row = np.broadcast_to(columns, (len(asked), width + 1)).astype(np.int16)
+    before, last = None, None
+    outside = columns[None, :] > goal[:, None]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def collect(level: int) -> None:
+        ends = np.flatnonzero(length == level)
+        if not len(ends) or not len(ask):
+            return
+        word_at = np.full(int(node_of.max()) + 1, -1)
+        word_at[node_of[ends]] = ends
+        d = row[np.arange(len(ask)), goal[ask]]
+        hit = (word_at[node] >= 0) & (d <= most[ask])
+        found.append((ask[hit], order[word_at[node[hit]]], d[hit].astype(np.int64)))
+
+    collect(0)
+    for level in range(depth):
+        alive = length > level
+        # children of this level's nodes, in the order of the sorted words
+        parent, letter = node_of, np.where(alive, tree[:, level], -1)
+        first = np.ones(len(indexed), bool)
+        first[1:] = (parent[1:] != parent[:-1]) | (letter[1:] != letter[:-1])
+        child = np.cumsum(first) - 1
+        starts = np.flatnonzero(first)
+        use = alive[starts]
+        c_parent, c_letter, c_id = parent[starts][use], letter[starts][use], child[starts][use]
+        low, high = np.searchsorted(c_parent, node, "left"), np.searchsorted(c_parent, node, "right")
+        n = high - low
+        state = np.repeat(np.arange(len(ask)), n)
+        pick = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
+        node_of = child
+        if not len(state):
+            ask = ask[:0]
+            break
+        here, old, who = c_letter[pick], row[state], ask[state]
+        fresh = np.empty_like(old)
+        fresh[:, 0] = old[:, 0] + 1
+        for j in range(1, width + 1):
+            cost = np.minimum(old[:, j] + 1, fresh[:, j - 1] + 1)
+            cost = np.minimum(cost, old[:, j - 1] + (text[who, j - 1] != here))
+            if before is not None and j > 1:
+                swapped = (text[who, j - 1] == last[state]) & (text[who, j - 2] == here)
+                cost = np.where(swapped, np.minimum(cost, before[state, j - 2] + 1), cost)
+            fresh[:, j] = cost
+        past = outside[who]
+        keep = (np.where(past, 99, fresh).min(1) <= most[who]) | (np.where(past, 99, old).min(1) <= most[who] - 1)
+        ask, node, row, before, last = who[keep], c_id[pick][keep], fresh[keep], old[keep], here[keep]
+        collect(level + 1)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) -> Iterator[tuple[str, str, int]]:
+    if len(indexed) == 1 and asked == indexed:
+        return
+
+    def rest(w: str) -> str:
+        return w[half:] if side != "s" else w[: len(w) - half]
+
+    if len(indexed) * len(asked) >= BATCH_FROM:
+        rests = [rest(w) for w in indexed]
+        for k in range(0, len(asked), BATCH_ROWS):
+            part = asked[k : k + BATCH_ROWS]
+            most = np.array([bound(len(q)) for q in part])
+            for i, j, d in zip(*(x.tolist() for x in neighbours_of_all(rests, [rest(q) for q in part], most)), strict=True):
+                if part[i] != indexed[j] and d <= bound(len(indexed[j])):
+                    yield part[i], indexed[j], d
+        return
     trie: dict = {}
     for w in indexed:
         node = trie
-        for letter in w[half:] if side != "s" else w[: len(w) - half]:
+        for letter in rest(w):
             node = node.setdefault(letter, {})
         # equal rests mean equal words, as the other half is shared
         node[_END] = w
-    if len(indexed) == 1 and asked == indexed:
-        return
     for q in asked:
-        rest = q[half:] if side != "s" else q[: len(q) - half]
-        for w, d in neighbours(trie, rest, bound(len(q))):
+        for w, d in neighbours(trie, rest(q), bound(len(q))):
             if w != q and d <= bound(len(w)):
                 yield q, w, d
 

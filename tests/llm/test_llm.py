@@ -13,7 +13,7 @@ from drayline.llm.leaks import Patterns, find_leaks, words_of
 from drayline.llm.names import NameReader, linked_pairs, resolve_names, within
 from drayline.llm.packing import count_tokens, enumerate_patterns, fit_counts, pack, packing_quality, plan_packing
 from drayline.llm.survivorship import fit_sources, judge_facts, retained_values, surviving_values
-from drayline.llm.trie_join import trie_join
+from drayline.llm.trie_join import neighbours, neighbours_of_all, trie_join
 from drayline.llm.truncation import judge_endings, symbol, truncation_rates
 
 
@@ -52,6 +52,24 @@ def test_trie_join_finds_every_single_slip_and_nothing_far(spark):
     assert trie_join(df.limit(0)).count() == 0
 
 
+def test_all_automata_at_once_find_what_each_finds():
+    rng = random.Random(8)
+    for letters in ("ab", "abc", "abcd") * 8:
+        words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 7))) for _ in range(70)})
+        asked = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(0, 7))) for _ in range(40)})
+        rng.shuffle(words)
+        trie = {}
+        for w in words:
+            node = trie
+            for letter in w:
+                node = node.setdefault(letter, {})
+            node[""] = w
+        most = np.array([rng.randint(0, 2) for _ in asked])
+        want = {(q, w, d) for q, m in zip(asked, most) for w, d in neighbours(trie, q, m)}
+        assert want == {(q, w, edit_distance(q, w)) for q, m in zip(asked, most) for w in words if edit_distance(q, w) <= m}
+        assert {(asked[i], words[j], int(d)) for i, j, d in zip(*neighbours_of_all(words, asked, most))} == want
+
+
 # --- names
 
 
