@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from drayline.plans.skew import hot_keys, parallelism_of
 
-#: Shards with more than this share of the entries are split into blocks of about BLOCK_ROWS.
+#: Ends of words with more than this share of the words are looked at; their shards are split into blocks of about BLOCK_ROWS.
 SHARD_SHARE = 1 / 2000
 BLOCK_ROWS = 4000
 #: Shards with so many combinations are searched for many words at once, in batches of so many words.
@@ -143,7 +143,7 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
         return
 
     def rest(w: str) -> str:
-        return w[half:] if side != "s" else w[: len(w) - half]
+        return w[half:] if side not in "sS" else w[: len(w) - half]
 
     if len(indexed) * len(asked) >= BATCH_FROM:
         rests = [rest(w) for w in indexed]
@@ -167,45 +167,46 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
                 yield q, w, d
 
 
-def trie_join(words: DataFrame, asked: DataFrame | None = None, parts: int = 2) -> DataFrame:
+def _entries(df: DataFrame, indexed: bool, parts: int) -> DataFrame:
+    """``(scope, word, indexed, shard)`` of every shard in which a spelling stands or is looked up."""
+    n = F.length("word")
+    names = ("p", "s") if parts == 2 else ("P", "S")
+    keys = [f"concat('{names[0]}', h, ':', substring(word, 1, h))", f"concat('{names[1]}', h, ':', right(word, h))"]
+    w = df.select("scope", "word").where("scope is not null and length(word) >= 4")
+    steps = (0,) if indexed else (-2, -1, 0, 1, 2)
+    h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / parts).cast("int")))
+    by_part = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), F.expr(f"explode(array({keys[0]}, {keys[1]}))").alias("shard"))
+    if parts != 2:
+        return by_part
+    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
+    every = F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))
+    by_letters = w.withColumn("letters", F.array_sort(F.split("word", ""))).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
+    return by_part.unionByName(by_letters)
+
+
+def trie_join(words: DataFrame, asked: DataFrame | None = None, wide: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(scope, a, b, d)``: different spellings of one scope within the bounded distance.
 
     ``words`` holds ``scope`` and ``word``, each pair once. ``asked``, of the same form, says for which spellings neighbours
-    ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. Nulls and
-    spellings too short for any edit have no neighbours. ``parts`` is 2 for shards by halves (and sorted letters) or 3 for
-    thirds. An empty table gives no rows; other columns are not read.
+    ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. ``wide`` is
+    a pair like ``words`` and ``asked`` that is searched by thirds in the same pass. Nulls and spellings too short for any edit have
+    no neighbours. An empty table gives no rows; other columns are not read.
     """
     symmetric = asked is None
-    n = F.length("word")
-
-    def shard(side: str, h: str) -> str:
-        text = f"substring(word, 1, {h})" if side == "p" else f"right(word, {h})"
-        return f"concat('{side}', {h}, ':', {text})"
-
-    halves = F.expr(f"explode(array({shard('p', 'h')}, {shard('s', 'h')}))").alias("shard")
-    letters = F.array_sort(F.split("word", ""))
-    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
-    every = F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))
-
-    def entries_of(df: DataFrame, indexed: bool) -> DataFrame:
-        w = df.select("scope", "word").where("scope is not null and length(word) >= 4")
-        steps = (0,) if indexed else (-2, -1, 0, 1, 2)
-        h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / parts).cast("int")))
-        by_half = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), halves)
-        if parts != 2:
-            return by_half
-        by_letters = w.withColumn("letters", letters).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
-        return by_half.unionByName(by_letters)
-
-    w = words
-    entries = entries_of(words, True).unionByName(entries_of(words if symmetric else asked, False))
-    entries = entries.withColumn("shard", F.concat_ws("\x1f", "shard", "scope"))
-    total = 24.0 * max(1, w.count())
-    ways = {k: min(64, int(s * total / BLOCK_ROWS) + 1) for k, s in hot_keys(entries, F.col("shard"), SHARD_SHARE).items()}
-    ways = {k: x for k, x in ways.items() if x > 1}
+    index = _entries(words, True, 2)
+    entries = index.unionByName(_entries(words if symmetric else asked, False, 2))
+    if wide is not None:
+        entries = entries.unionByName(_entries(wide[0], True, 3)).unionByName(_entries(wide[1], False, 3))
+    shard = F.concat_ws("\x1f", "shard", "scope")
+    entries = entries.withColumn("shard", shard)
+    # heavy shards are those of frequent ends of words
+    sample = words.where("length(word) >= 4").select(F.expr("concat(right(word, 3), '\x1f', scope)").alias("tail"))
+    total = max(1, words.count())
+    ways = {k: int(s * total / BLOCK_ROWS) + 1 for k, s in hot_keys(sample, F.col("tail"), SHARD_SHARE).items() if s * total > BLOCK_ROWS}
     if ways:
         pairs = [F.lit(x) for kv in ways.items() for x in kv]
-        m = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("shard")), F.lit(1))
+        # words that share an end of three letters or more share their tail
+        m = F.when(F.regexp_extract("shard", "^[sS]([0-9]+):", 1).try_cast("int") >= 3, F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat(F.expr("right(word, 3)"), F.lit("\x1f"), F.col("scope"))), F.lit(1))).otherwise(F.lit(1))
         own_block = F.pmod(F.xxhash64("word"), m.cast("long")).cast("int")
         # an indexed spelling stands in one row of blocks, a looked-up one in one column
         blocks = F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.when(F.col("indexed"), own_block * m + k).otherwise(k * m + own_block))

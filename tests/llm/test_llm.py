@@ -37,7 +37,7 @@ def slip(rng: random.Random, word: str) -> str:
 # --- trie join
 
 
-def test_trie_join_finds_every_single_slip_and_nothing_far(spark):
+def test_trie_join_finds_every_single_slip_and_nothing_far(spark, monkeypatch):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 11))) for _ in range(150)]
     words = sorted({*base, *(slip(rng, w) for w in base), *(slip(rng, slip(rng, w)) for w in base), "ab", ""})
@@ -50,6 +50,11 @@ def test_trie_join_finds_every_single_slip_and_nothing_far(spark):
     wanted = [p for p, d in near.items() if d == 2 and min(map(len, p)) >= 8]
     assert sum(p in got for p in wanted) >= 0.6 * len(wanted)
     assert trie_join(df.limit(0)).count() == 0
+    monkeypatch.setattr("drayline.llm.trie_join.BLOCK_ROWS", 3)
+    monkeypatch.setattr("drayline.llm.trie_join.BATCH_FROM", 1)
+    assert {(r.a, r.b): r.d for r in trie_join(df).collect()} == got
+    thirds = {(r.a, r.b): r.d for r in trie_join(df, wide=(df, df)).collect()}
+    assert got.items() <= thirds.items() and sum(p in thirds for p in wanted) >= 0.8 * len(wanted)
 
 
 def test_all_automata_at_once_find_what_each_finds():
