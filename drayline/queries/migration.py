@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drayline.functions import scalars as S
 from drayline.functions.service_codes import map_service_code
 from drayline.operators.entities import confidence_histogram, entity_breakdown, entity_page, exception_lineage, trailing_counts, with_exceptions
+from drayline.operators.normalize import flag_rows, normalize_records
 from drayline.operators.resolve import block_customers, customer_clusters, similar_pairs
 from drayline.plans.materialize import materialize
 from drayline.sources import read_table
@@ -92,14 +93,13 @@ def name_and_address_keys(spark: SparkSession, root: str) -> DataFrame:
     return c.select("id", S.strip_legal_forms(F.col("name")).alias("stripped"), S.phonetic_key(F.col("name")).alias("phonetic"), S.normalize_address(F.col("address")).alias("address"))
 
 
-@_query(r"""
-with t as (select id, regexp_replace(regexp_replace(name, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') v from customers where regexp_matches(name, '^[ -~]*$')),
+@_query("with t as (select id, " + _clean("name") + r""" v from customers),
 w as (select id, v, string_split(v, ' ') w from t),
 f as (select id, v, w, case when len(w) > 1 then map {'llc':'LLC','inc':'Inc','incorporated':'Inc','corp':'Corp','corporation':'Corp','co':'Co','company':'Co','ltd':'Ltd','limited':'Ltd'}[lower(regexp_replace(w[-1], '^,|\.', '', 'g'))] end form from w),
 s as (select id, v, form, regexp_replace(array_to_string(case when form is null then w else w[1:len(w)-1] end, ' '), '[,.]+$', '') stem from f)
-select id, case when v = '' then '' else concat_ws(' ', nullif(array_to_string(list_transform(string_split(stem, ' '), lambda x: array_to_string(list_transform(string_split(x, '-'), lambda p: upper(left(p,1)) || lower(substr(p,2))), '-')), ' '), ''), form) end as company from s""")
+select id, case when v = '' then '' when v is not null then concat_ws(' ', nullif(array_to_string(list_transform(string_split(stem, ' '), lambda x: array_to_string(list_transform(string_split(x, '-'), lambda p: upper(left(p,1)) || lower(substr(p,2))), '-')), ' '), ''), form) end as company from s""")
 def company_names(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "customers").where("name rlike '^[ -~]*$'")
+    c = read_table(spark, root, "customers")
     return c.select("id", S.normalize_company_name(F.col("name")).alias("company"))
 
 
@@ -250,9 +250,35 @@ def trailing_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 @_query("""
-select id, case when trim(phone) <> '' and trim(name) <> '' then 'customer' when trim(name) <> '' and trim(address) <> '' then 'site' else 'unknown' end as kind from customers""")
+select id, case when starts_with(name, 'Container ') then 'container' when starts_with(name, 'Route ') then 'route' when trim(phone) <> '' and trim(name) <> '' then 'customer' when trim(name) <> '' and trim(address) <> '' then 'site' else 'unknown' end as kind from customers""")
 def inferred_types(spark: SparkSession, root: str) -> DataFrame:
     c = read_table(spark, root, "customers")
-    named = c.where("not coalesce(name, '') like 'Container %' and not coalesce(name, '') like 'Route %'")
     kind = S.infer_entity_type({"name": F.col("name"), "phone": F.col("phone"), "address": F.col("address")})
-    return named.select("id", kind.alias("kind"))
+    return c.select("id", kind.alias("kind"))
+
+
+_DATE_NOTE = SQL["normalize_dates"].strip()
+
+
+@_query(f"""
+with dates as ({_DATE_NOTE}),
+c as (select id, container_id, upper({_clean("container_id")}) v from agreements),
+f as (
+  select id, 0 o, 'startDate' field, note from dates where note is not null and note <> 'empty'
+  union all select id, 1, 'containerId', 'unrecognized container id' from c where trim(container_id) <> '' and not regexp_matches(v, '^(RC[- ]?|BIN[- ]?|CONTAINER[- ]?)?[0-9]{{1,6}}$'))
+select field, note, count(*) as n from f group by all""")
+def flags_of_agreements(spark: SparkSession, root: str) -> DataFrame:
+    a = read_table(spark, root, "agreements")
+    flags = flag_rows(normalize_records(a, "id", {"startDate": "start_date", "containerId": "container_id"}))
+    return flags.groupBy("field", "note").agg(F.count("*").alias("n"))
+
+
+@_query("""
+select 'customers' as table_name, count(*) as n, count(distinct id) as ids, count(*) filter (where coalesce(trim(phone), '') = '') as empty from customers
+union all select 'sites', count(*), count(distinct id), count(*) filter (where not coalesce(geocodable, false)) from sites
+union all select 'agreements', count(*), count(distinct id), count(*) filter (where coalesce(trim(container_id), '') = '') from agreements""")
+def dirt_summary(spark: SparkSession, root: str) -> DataFrame:
+    parts = []
+    for name, empty in (("customers", F.coalesce(F.trim("phone"), F.lit("")) == ""), ("sites", ~F.coalesce("geocodable", F.lit(False))), ("agreements", F.coalesce(F.trim("container_id"), F.lit("")) == "")):
+        parts.append(read_table(spark, root, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(empty).alias("empty")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from drayline.functions import scalars as S
 from drayline.functions.service_codes import map_service_code
 from drayline.operators.entities import confidence_histogram, entity_page
+from drayline.operators.normalize import flag_rows, normalize_records
 from drayline.operators.resolve import cluster_labels, customer_clusters
 from drayline.sources.legacy import csv_cells, fixed_text, read_lines, read_rows, unique_headers, wide_cells
 from drayline.streaming.intake import stream_intake
@@ -43,6 +44,15 @@ def test_service_codes(spark, code, lob, size, frequency, confidence):
     assert (m.lob, m.size_yards, m.frequency, m.confidence) == (lob, size, frequency, confidence)
 
 
+def test_records_get_flags(spark):
+    df = spark.createDataFrame([("1", "acme co", "5550100", "3/4/20", "bin 7", "12.5", "z"), ("2", None, "", None, "??", "x", "z")], "id string, n string, p string, d string, c string, m string, flags string")
+    rows = normalize_records(df, "id", {"name": "n", "phone": "p", "date": "d", "containerId": "c", "amount": "m"})
+    got = {(r.record_id, r.field): r.note for r in flag_rows(rows).collect()}
+    assert got == {("1", "phone"): "not E.164", ("1", "date"): "ambiguous 2-digit year", ("2", "containerId"): "unrecognized container id", ("2", "amount"): "invalid money"}
+    first = rows.where("record_id = '1'").first()
+    assert (first.name, first.containerId, first.amount, first.entity_type) == ("Acme Co", "RC-7", "1250", "customer")
+
+
 def test_cells(spark):
     assert one(spark, csv_cells, 'a,"b,c",d', '"x ""y""",z', 'm"id,dle"x,1', '"open,1') == [["a", "b,c", "d"], ['x "y"', "z"], ["mid,dlex", "1"], ["open,1"]]
     assert one(spark, wide_cells, 'a  "b c" \t d', "a    ") == [["a", "b c", "d"], ["a"]]
