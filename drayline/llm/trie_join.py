@@ -10,7 +10,7 @@ find two edits unless one falls into the first and one into the last third; thei
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -167,7 +167,7 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
                 yield q, w, d
 
 
-def _entries(df: DataFrame, indexed: bool, parts: int) -> DataFrame:
+def _entries(df: DataFrame, indexed: bool, parts: int, letters: bool = False) -> DataFrame:
     """``(scope, word, indexed, shard)`` of every shard in which a spelling stands or is looked up."""
     n = F.length("word")
     names = ("p", "s") if parts == 2 else ("P", "S")
@@ -176,7 +176,7 @@ def _entries(df: DataFrame, indexed: bool, parts: int) -> DataFrame:
     steps = (0,) if indexed else (-2, -1, 0, 1, 2)
     h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / parts).cast("int")))
     by_part = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), F.expr(f"explode(array({keys[0]}, {keys[1]}))").alias("shard"))
-    if parts != 2:
+    if not letters:
         return by_part
     less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
     every = F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))
@@ -184,33 +184,36 @@ def _entries(df: DataFrame, indexed: bool, parts: int) -> DataFrame:
     return by_part.unionByName(by_letters)
 
 
-def trie_join(words: DataFrame, asked: DataFrame | None = None, wide: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def trie_join(words: DataFrame, asked: DataFrame | None = None, more: Sequence[tuple[DataFrame, DataFrame, int]] = ()) -> DataFrame:
     """``(scope, a, b, d)``: different spellings of one scope within the bounded distance.
 
     ``words`` holds ``scope`` and ``word``, each pair once. ``asked``, of the same form, says for which spellings neighbours
-    ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. ``wide`` is
-    a pair like ``words`` and ``asked`` that is searched by thirds in the same pass. Nulls and spellings too short for any edit have
+    ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. ``more``
+    has further pairs like ``words`` and ``asked``, searched in the same pass, by halves and letters (2) or by thirds (3). Nulls and spellings too short for any edit have
     no neighbours. An empty table gives no rows; other columns are not read.
     """
     symmetric = asked is None
-    index = _entries(words, True, 2)
-    entries = index.unionByName(_entries(words if symmetric else asked, False, 2))
-    if wide is not None:
-        entries = entries.unionByName(_entries(wide[0], True, 3)).unionByName(_entries(wide[1], False, 3))
+    entries = _entries(words, True, 2, True).unionByName(_entries(words if symmetric else asked, False, 2, True))
+    for other, wanted, parts in more:
+        entries = entries.unionByName(_entries(other, True, parts, parts == 2)).unionByName(_entries(wanted, False, parts, parts == 2))
     shard = F.concat_ws("\x1f", "shard", "scope")
     entries = entries.withColumn("shard", shard)
     # heavy shards are those of frequent ends of words
-    sample = words.where("length(word) >= 4").select(F.expr("concat(right(word, 3), '\x1f', scope)").alias("tail"))
-    total = max(1, words.count())
+    every = words
+    for other, _, _ in more:
+        every = every.unionByName(other)
+    sample = every.where("length(word) >= 4").select(F.expr("concat(right(word, 3), '\x1f', scope)").alias("tail"))
+    total = max(1, every.count())
     ways = {k: int(s * total / BLOCK_ROWS) + 1 for k, s in hot_keys(sample, F.col("tail"), SHARD_SHARE).items() if s * total > BLOCK_ROWS}
     if ways:
-        pairs = [F.lit(x) for kv in ways.items() for x in kv]
-        # words that share an end of three letters or more share their tail
-        m = F.when(F.regexp_extract("shard", "^[sS]([0-9]+):", 1).try_cast("int") >= 3, F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat(F.expr("right(word, 3)"), F.lit("\x1f"), F.col("scope"))), F.lit(1))).otherwise(F.lit(1))
-        own_block = F.pmod(F.xxhash64("word"), m.cast("long")).cast("int")
+        # at most 1/SHARD_SHARE rows; words that share an end of three letters or more share their tail
+        split = F.broadcast(words.sparkSession.createDataFrame(list(ways.items()), "tail string, m int"))
+        tail = F.when(F.col("shard").rlike("^[sS](?:[3-9]|[1-9][0-9]+):"), F.concat(F.expr("right(word, 3)"), F.lit("\x1f"), F.col("scope")))
+        entries = entries.withColumn("tail", tail).join(split, "tail", "left").drop("tail")
+        own_block = F.pmod(F.xxhash64("word"), F.col("m").cast("long")).cast("int")
         # an indexed spelling stands in one row of blocks, a looked-up one in one column
-        blocks = F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.when(F.col("indexed"), own_block * m + k).otherwise(k * m + own_block))
-        entries = entries.withColumn("block", F.explode(blocks))
+        blocks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.when(F.col("indexed"), own_block * F.col("m") + k).otherwise(k * F.col("m") + own_block))
+        entries = entries.withColumn("block", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(blocks))).drop("m")
     else:
         entries = entries.withColumn("block", F.lit(0))
 

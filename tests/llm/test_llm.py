@@ -53,7 +53,7 @@ def test_trie_join_finds_every_single_slip_and_nothing_far(spark, monkeypatch):
     monkeypatch.setattr("drayline.llm.trie_join.BLOCK_ROWS", 3)
     monkeypatch.setattr("drayline.llm.trie_join.BATCH_FROM", 1)
     assert {(r.a, r.b): r.d for r in trie_join(df).collect()} == got
-    thirds = {(r.a, r.b): r.d for r in trie_join(df, wide=(df, df)).collect()}
+    thirds = {(r.a, r.b): r.d for r in trie_join(df, more=[(df, df, 3)]).collect()}
     assert got.items() <= thirds.items() and sum(p in thirds for p in wanted) >= 0.8 * len(wanted)
 
 
