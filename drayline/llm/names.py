@@ -251,13 +251,30 @@ def odd_cores(cores: DataFrame) -> DataFrame:
 def _plausible(edges: DataFrame, odd: DataFrame) -> DataFrame:
     """Without neighbours at two edits, none of them a swap, that both look like names of their own.
 
-    Where letters were swapped, the distance without swaps is greater.
+    ``odd`` has ``core`` and ``alone``, as what looks odd among names without a context is another matter. Where letters
+    were swapped, the distance without swaps is greater.
     """
+    edges = edges.withColumn("alone", F.startswith("scope", F.lit("?")))
     for side in ("a", "b"):
-        edges = edges.join(odd.select(F.col("core").alias(side), F.lit(True).alias(f"odd_{side}")), side, "left")
+        edges = edges.join(odd.select(F.col("core").alias(side), "alone", F.lit(True).alias(f"odd_{side}")), [side, "alone"], "left")
     return edges.where("d <= 1 or levenshtein(a, b) > d or odd_a or odd_b").select("scope", "a", "b", "d")
 
 
+def _roots(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, core, root)``: of each core the best neighbour in its scope, twice, so that a variant of a variant comes to the same core.
+
+    ``nodes`` has ``key``, ``scope``, ``core`` and how often it is written, ``n``.
+    """
+    near = nodes.withColumnRenamed("core", "a").withColumnRenamed("n", "own").join(edges, ["scope", "a"]).join(nodes.select("scope", F.col("core").alias("b"), "n"), ["scope", "b"])
+    better = near.where((F.col("n") > F.col("own")) | ((F.col("n") == F.col("own")) & (F.col("b") < F.col("a"))))
+    up = better.groupBy(*key, F.col("a").alias("core")).agg(F.max_by("b", F.struct(-F.col("d"), F.col("n"), F.col("b"))).alias("up"))
+    first = materialize(nodes.join(up, [*key, "core"], "left").select(*key, "core", F.coalesce("up", "core").alias("root")))
+    for _ in range(2):
+        step = first.select(*key, F.col("core").alias("root"), F.col("root").alias("next"))
+        first = first.join(step, [*key, "root"], "left").select(*key, "core", F.coalesce("next", "root").alias("root"))
+    return materialize(first)
+
+
 def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name") -> DataFrame:
     """``(record_id, name, entity)``: records with a name that means somebody, with the key of whom it means.
 
@@ -274,28 +291,28 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     nodes = materialize(nodes)
     key = ["kind", "context", "generation"]
     scope = F.concat_ws("|", *key)
-    odd = materialize(odd_cores(nodes.select("core").distinct()))
+    # names without a context that are alike in all but the core are a scope of their own
+    own = F.concat_ws("|", F.lit("?"), "kind", F.array_join("options", "/"), "initial", "generation")
+    loose = read.where("context is null").withColumn("own", own)
+    bare = materialize(loose.join(counts, "name").groupBy("own", "kind", "core", "options", "generation", "initial").agg(F.sum("n").alias("n")))
+    odd = odd_cores(nodes.select("core").distinct())
+    odd_bare = odd_cores(nodes.select("core").union(bare.select("core")).distinct()).join(bare, "core", "left_semi")
+    odd = materialize(odd.withColumn("alone", F.lit(False)).unionByName(odd_bare.withColumn("alone", F.lit(True))))
     # one pass finds the neighbours within contexts, those of odd cores more widely, and those of names without a context
-    # among all cores of their kind; odd-looking cores are few, and only they may be two edits off
-    loose = read.where("context is null").select("name", "kind", "core", "options", "generation", "initial")
+    # among all cores of their kind and among themselves; odd-looking cores are few, and only they may be two edits off
     part = F.concat_ws("|", F.lit("*"), "kind", "generation")
     within_context = nodes.select(scope.alias("scope"), F.col("core").alias("word"))
-    wanted = materialize(loose.select(part.alias("scope"), F.col("core").alias("word")).distinct())
+    # numbers one digit apart are different names
+    within_bare = bare.where("core rlike '[^0-9]'").select(F.col("own").alias("scope"), F.col("core").alias("word"))
+    within_all = within_context.unionByName(within_bare)
+    wanted = materialize(bare.select(part.alias("scope"), F.col("core").alias("word")).distinct())
     any_context = nodes.select(part.alias("scope"), F.col("core").alias("word")).distinct()
-    odd_words = nodes.join(odd, "core", "left_semi").where("length(core) >= 8").select(scope.alias("scope"), F.col("core").alias("word"))
-    found = materialize(_plausible(trie_join(within_context, more=[(within_context, odd_words, 3), (any_context, wanted, 2)]), odd))
-    inside, loose_edges = found.where("not startswith(scope, '*')"), found.where("startswith(scope, '*')")
-    edges = inside
-    # of each core the best neighbour in its context, twice, so that a variant of a variant comes to the same core
-    scoped = nodes.withColumn("scope", scope)
-    near = scoped.withColumnRenamed("core", "a").withColumnRenamed("n", "own").join(edges, ["scope", "a"]).join(scoped.select("scope", F.col("core").alias("b"), "n"), ["scope", "b"])
-    better = near.where((F.col("n") > F.col("own")) | ((F.col("n") == F.col("own")) & (F.col("b") < F.col("a"))))
-    up = better.groupBy(*key, F.col("a").alias("core")).agg(F.max_by("b", F.struct(-F.col("d"), F.col("n"), F.col("b"))).alias("up"))
-    first = materialize(nodes.join(up, [*key, "core"], "left").select(*key, "core", F.coalesce("up", "core").alias("root")))
-    for _ in range(2):
-        step = first.select(*key, F.col("core").alias("root"), F.col("root").alias("next"))
-        first = first.join(step, [*key, "root"], "left").select(*key, "core", F.coalesce("next", "root").alias("root"))
-    canon = materialize(first)
+    odd_words = nodes.join(odd.where("not alone"), "core", "left_semi").where("length(core) >= 8").select(scope.alias("scope"), F.col("core").alias("word"))
+    odd_words = odd_words.unionByName(within_bare.join(odd.where("alone").select(F.col("core").alias("word")), "word", "left_semi").where("length(word) >= 8").select("scope", "word"))
+    found = materialize(_plausible(trie_join(within_all, more=[(within_all, odd_words, 3), (any_context, wanted, 2)]), odd))
+    loose_edges, bare_edges = found.where("startswith(scope, '*')"), found.where("startswith(scope, '?')")
+    canon = _roots(nodes.withColumn("scope", scope), found.where("not scope rlike '^[*?]'"), key)
+    bare_roots = _roots(bare.select(F.col("own").alias("scope"), "core", "n"), bare_edges, ["scope"]).withColumnRenamed("scope", "own")
 
     def entity(kind: str = "kind") -> F.Column:
         return F.concat_ws("|", F.col(kind), "root", "context", "generation")
@@ -305,14 +322,18 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     around = wanted.select("scope", F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("d")).unionByName(loose_edges.select("scope", "a", "b", "d"))
     targets = canon.select("kind", F.col("context"), "generation", F.col("core").alias("b"), "root")
     fits = (F.size("options") > 0) & F.array_contains("options", F.col("context")) | (F.size("options") == 0) & ((F.col("initial") == "") | F.col("context").startswith(F.col("initial")))
-    met = (
-        loose.withColumn("scope", part).withColumnRenamed("core", "a").join(around, ["scope", "a"])
+    met = materialize(
+        bare.withColumn("scope", part).withColumnRenamed("core", "a").join(around, ["scope", "a"])
         .join(targets, ["kind", "generation", "b"]).where(fits)
-        .groupBy("name").agg(F.collect_set(entity()).alias("found"), F.collect_set(F.when(F.col("d") == 0, entity())).alias("same"))
-        .select("name", F.when(F.size("same") == 1, F.get("same", F.lit(0))).when((F.size("same") == 0) & (F.size("found") == 1), F.get("found", F.lit(0))).alias("entity"))
+        .groupBy("own", F.col("a").alias("core")).agg(F.collect_set(entity()).alias("found"), F.collect_set(F.when(F.col("d") == 0, entity())).alias("same"))
+        .select("own", "core", F.when(F.size("same") == 1, F.get("same", F.lit(0))).when((F.size("same") == 0) & (F.size("found") == 1), F.get("found", F.lit(0))).alias("entity"), F.lit(True).alias("several"))
     )
-    alone = F.concat_ws("|", "kind", "core", F.concat(F.lit("?"), F.array_join("options", "/")), "initial", "generation")
-    rest = loose.join(met, "name", "left").select("name", F.coalesce("entity", alone).alias("entity"))
+    # what meets no entity goes with its root; what meets several stays apart from each, but together with its like
+    of_root = met.select("own", F.col("core").alias("root"), F.col("entity").alias("root_entity"))
+    alone = F.concat_ws("|", "own", "root")
+    placed = bare_roots.join(met, ["own", "core"], "left").join(of_root, ["own", "root"], "left")
+    placed = placed.select("own", "core", F.coalesce("entity", F.when(F.col("several").isNull(), F.col("root_entity")), alone).alias("entity"))
+    rest = loose.join(placed, ["own", "core"]).select("name", "entity")
     return held.join(exact.unionByName(rest), "name").select("record_id", "name", "entity")
 
 

@@ -108,6 +108,12 @@ def test_names_are_linked(spark):
     assert linked_pairs(resolve_names(df.limit(0))).count() == 0
 
 
+def test_names_without_context_meet_each_other(spark):
+    rows = [("1", "Cinblukorp"), ("2", "the cunblukorp"), ("3", "J. Dringersmith"), ("4", "Dringersmth, J."), ("5", "K. Dringersmith"), ("6", "Jitiven, Inc."), ("7", "Jitivn LLC"), ("8", "Chris Pidrugand"), ("9", "Chris Pidrugnad"), ("10", "5551234"), ("11", "5551235"), ("12", "Elizabeth Fabechen"), ("13", "Edward Fabechen"), ("14", "E. Fabechen"), ("15", "E. Fabechn")]
+    got = {tuple(r) for r in linked_pairs(resolve_names(spark.createDataFrame(rows, "id string, name string"))).collect()}
+    assert got == {("1", "2"), ("3", "4"), ("6", "7"), ("8", "9"), ("14", "15")}
+
+
 # --- addresses
 
 
