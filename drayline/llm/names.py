@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drayline.llm.components import connected_components
 from drayline.llm.trie_join import trie_join
 from drayline.plans.materialize import materialize
 
@@ -91,6 +93,45 @@ def _abbreviates(short: str, word: str) -> bool:
     return word.startswith(short) and len(short) >= 3 or len(short) >= 3 and all(c in letters for c in short)
 
 
+def turned(a: list[str], b: list[str]) -> bool:
+    """Whether two names have the same words in another order, with at most one edit in one of them."""
+    if len(a) != len(b) or a == b:
+        return False
+    over, short = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    if not over:
+        return True
+    if over.total() > 1 or sum(map(len, a)) < 4 or sum(map(len, b)) < 4:
+        return False
+    (x,), (y,) = over, short
+    # in one order, the join of the cores decides
+    return within(x, y, 1) and [x if w == y else w for w in b] != a
+
+
+def turned_pairs(names: DataFrame) -> DataFrame:
+    """``(left_id, right_id)``: entities with names of which one is the other in another order.
+
+    ``names`` has ``turn``, ``words`` and ``entity``. Sorted letters, whole and less one, are the same in any order of the
+    words, so every order with at most one edit or swap is found.
+    """
+    each = names.where("turn is not null").groupBy("turn", "words").agg(F.collect_set("entity").alias("entities"))
+    letters = F.array_sort(F.split(F.array_join("words", ""), ""))
+    less = F.transform(F.sequence(F.lit(1), F.size("letters")), lambda k: F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, F.size("letters"))), ""))
+    keys = F.array_distinct(F.concat(F.array(F.array_join("letters", "")), less))
+    shards = each.withColumn("letters", letters).select("turn", "words", "entities", F.explode(F.transform(keys, lambda k: F.xxhash64("turn", k))).alias("shard"))
+    groups = shards.groupBy("shard").agg(F.collect_list(F.struct("turn", "words", "entities")).alias("g")).where("size(g) > 1").select("g")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: set[tuple[str, str]] = set()
+            for g in batch["g"]:
+                for x, y in combinations([(n["turn"], list(n["words"]), sorted(n["entities"])) for n in g], 2):
+                    if x[0] == y[0] and (x[2] != y[2] or len(x[2]) > 1) and turned(x[1], y[1]):
+                        out.update((e, f) for e in x[2] for f in y[2] if e != f)
+            yield pd.DataFrame(sorted(out), columns=["left_id", "right_id"], dtype=object)
+
+    return groups.mapInPandas(search, "left_id string, right_id string").distinct()
+
+
 class NameReader:
     """Takes names apart with a lexicon of the corpus."""
 
@@ -154,14 +195,18 @@ class NameReader:
 
         Contexts are the possible trades of a firm, or formal first names of a person; none where the name has no such part.
         """
+        return self.read_words(name)[:5]
+
+    def read_words(self, name: str) -> tuple[str, str, list[str], str, str, list[str]]:
+        """As :meth:`read`, with the words whose order says nothing: those of a core, or all of a person of unlisted first name."""
         plain = re.sub(r"\s+", " ", fold(name)).strip(" .*-–_?!")
         if plain in PLACEHOLDERS or not re.search(r"[a-z]{2}", plain):
-            return "none", "", [], "", ""
+            return "none", "", [], "", "", []
         tokens = [t for t in tokens_of(name) if t and t not in TITLES]
         generation = next((GENERATIONS[t] for t in tokens if t in GENERATIONS), "")
         tokens = [t for t in tokens if t not in GENERATIONS]
         if not tokens or " ".join(tokens) in PLACEHOLDERS:
-            return "none", "", [], "", ""
+            return "none", "", [], "", "", []
         legal = [t for t in tokens if t in LEGAL]
         partners = [t for t in tokens if t in PARTNERS or len(t) >= 4 and any(within(t, p, 1) for p in PARTNERS if len(p) >= 4)]
         rest = [t for t in tokens if t not in LEGAL and t not in partners]
@@ -175,24 +220,26 @@ class NameReader:
         trades += [b for w in trades for b in self.beside.get(w, ()) if b in self.trades]
         if legal or partners or trades:
             # a single letter between words of a firm is a cut-off piece of its core
-            return ("firm", "".join(left), [" ".join(sorted(set(trades)))] if trades else [], "", "") if left else ("firm", " ".join(sorted(set(trades))) or " ".join(tokens), ["*"], "", "")
+            if left:
+                return "firm", "".join(left), [" ".join(sorted(set(trades)))] if trades else [], "", "", left
+            return "firm", " ".join(sorted(set(trades))) or " ".join(tokens), ["*"], "", "", []
         letters = [t for t in left if len(t) == 1]
         long = [t for t in left if len(t) > 1]
         if not long:
-            return "none", "", [], "", ""
+            return "none", "", [], "", "", []
         given = [t for t in long if t in self.formal] or [t for t in long[:1] + long[-1:] if len(long) > 1 and self.first(t)]
         if given and len(long) > 1:
             g = given[0]
-            surname = "".join(t for k, t in enumerate(long) if k != long.index(g))
-            return "person", surname, list(self.first(g)), generation, ""
+            surname = [t for k, t in enumerate(long) if k != long.index(g)]
+            return "person", "".join(surname), list(self.first(g)), generation, "", surname
         if letters:
-            return "person", "".join(long), [], generation, letters[0]
+            return "person", "".join(long), [], generation, letters[0], long
         if len(long) == 1:
-            return "firm", long[0], [], "", ""
-        return "person", "".join(long[1:]), [long[0]], generation, ""
+            return "firm", long[0], [], "", "", []
+        return "person", "".join(long[1:]), [long[0]], generation, "", long
 
 
-_READ = "name string, kind string, core string, context string, options array<string>, generation string, initial string"
+_READ = "name string, kind string, core string, context string, options array<string>, generation string, initial string, turn string, words array<string>"
 
 
 def read_names(names: DataFrame) -> DataFrame:
@@ -231,9 +278,12 @@ def read_names(names: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for name in batch["name"]:
-                kind, core, options, generation, initial = reader.read(name)
-                rows.append((name, kind, core, options[0] if len(options) == 1 else None, options, generation, initial))
-            yield pd.DataFrame(rows, columns=["name", "kind", "core", "context", "options", "generation", "initial"])
+                kind, core, options, generation, initial, words = reader.read_words(name)
+                # what must be equal where words are turned round; the first of all words of a name is in its core elsewhere
+                everything = len(options) == 1 and len("".join(words)) > len(core)
+                turn = "|".join((kind, "?" if everything else "/".join(options), generation, initial)) if len(words) > 1 else None
+                rows.append((name, kind, core, options[0] if len(options) == 1 else None, options, generation, initial, turn, words))
+            yield pd.DataFrame(rows, columns=["name", "kind", "core", "context", "options", "generation", "initial", "turn", "words"])
 
     return once.mapInPandas(read, _READ)
 
@@ -334,7 +384,13 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     placed = bare_roots.join(met, ["own", "core"], "left").join(of_root, ["own", "root"], "left")
     placed = placed.select("own", "core", F.coalesce("entity", F.when(F.col("several").isNull(), F.col("root_entity")), alone).alias("entity"))
     rest = loose.join(placed, ["own", "core"]).select("name", "entity")
-    return held.join(exact.unionByName(rest), "name").select("record_id", "name", "entity")
+    means = materialize(exact.unionByName(rest))
+    # entities whose names only differ in the order of their words are one
+    turns = materialize(turned_pairs(read.where("turn is not null").select("name", "turn", "words").join(means, "name")))
+    if not turns.isEmpty():
+        groups = connected_components(turns).select(F.col("record_id").alias("entity"), F.col("group_id"))
+        means = means.join(groups, "entity", "left").select("name", F.coalesce("group_id", "entity").alias("entity"))
+    return held.join(means, "name").select("record_id", "name", "entity")
 
 
 def linked_pairs(resolved: DataFrame) -> DataFrame:

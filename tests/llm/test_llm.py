@@ -114,6 +114,13 @@ def test_names_without_context_meet_each_other(spark):
     assert got == {("1", "2"), ("3", "4"), ("6", "7"), ("8", "9"), ("14", "15")}
 
 
+def test_words_in_another_order_are_linked(spark):
+    firms = [(f"f{k}", f"{''.join(c)}dorp Hauling LLC") for k, c in enumerate(zip("bcdfghjklm", "aeiouaeiou", "mnprtvwxyz", "ouaeiouaei", "bdfhjlnprt"))]
+    rows = firms + [("1", "Zelda Fitzmor"), ("2", "Fitzmor, Zelda"), ("3", "Fitzmr Zelda"), ("4", "Vontis Kerdol Hauling"), ("5", "Kerdol Vontis Hauling LLC"), ("6", "Hauling Kredol Vontis"), ("7", "Zelda Fitzmor Jr"), ("8", "Zelda Fabechen"), ("9", "Maria Nuvok"), ("10", "Mario Nuvok"), ("11", "Q. Bexter Dolm"), ("12", "Dolm Bexter, Q."), ("13", "Yorick van Trebolm"), ("14", "van Trebolm, Yorick")]
+    got = {tuple(r) for r in linked_pairs(resolve_names(spark.createDataFrame(rows, "id string, name string"))).collect()}
+    assert got == {("1", "2"), ("1", "3"), ("2", "3"), ("4", "5"), ("4", "6"), ("5", "6"), ("11", "12"), ("13", "14")}
+
+
 # --- addresses
 
 
