@@ -65,7 +65,8 @@ def fold(text: str) -> str:
 def tokens_of(name: str) -> list[str]:
     text = re.sub(REMARKS, " ", fold(name))
     text = re.sub(r"\bl\.\s?l\.\s?c\b\.?", "llc", text)
-    return [re.sub(r"[^a-z0-9]", "", t) for t in _TOKEN.findall(text.replace("+", " ").replace("&", " "))]
+    # words in another script keep their letters
+    return [re.sub(r"[^a-z0-9]", "", t) or re.sub(r"[\W_]", "", t) for t in _TOKEN.findall(text.replace("+", " ").replace("&", " "))]
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -200,8 +201,13 @@ class NameReader:
     def read_words(self, name: str) -> tuple[str, str, list[str], str, str, list[str]]:
         """As :meth:`read`, with the words whose order says nothing: those of a core, or all of a person of unlisted first name."""
         plain = re.sub(r"\s+", " ", fold(name)).strip(" .*-–_?!")
-        if plain in PLACEHOLDERS or not re.search(r"[a-z]{2}", plain):
+        if plain in PLACEHOLDERS:
             return "none", "", [], "", "", []
+        if not re.search(r"[^\W\d_]{2}", plain):
+            # no word stands in it: all its letters and digits are the core, unless they say nothing
+            core = re.sub(r"[\W_]", "", plain)
+            blank = len(set(core)) < 2 and (not core or core.isascii()) or core in {re.sub(r"[\W_]", "", p) for p in PLACEHOLDERS}
+            return ("none" if blank else "firm"), "" if blank else core, [], "", "", []
         tokens = [t for t in tokens_of(name) if t and t not in TITLES]
         generation = next((GENERATIONS[t] for t in tokens if t in GENERATIONS), "")
         tokens = [t for t in tokens if t not in GENERATIONS]
@@ -293,7 +299,7 @@ def odd_cores(cores: DataFrame) -> DataFrame:
     total = max(1, cores.count())
     marked = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
     threes = cores.select("core", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core")), lambda k: F.substring(marked, k, F.lit(3))))).alias("three"))
-    # cores are of a-z and 0-9, so there are at most 38 ** 3 different ones
+    # of cores of a-z and 0-9 there are at most 38 ** 3 different ones
     rare = threes.groupBy("three").agg(F.count("*").alias("n")).where(F.col("n") - 1 <= ODD_SHARE * total).select("three")
     return threes.join(rare, "three").select("core").distinct()
 
@@ -328,7 +334,7 @@ def _roots(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name") -> DataFrame:
     """``(record_id, name, entity)``: records with a name that means somebody, with the key of whom it means.
 
-    Null, blank and placeholder names, and records without an identifier, are left out; a record with several names has a
+    Null, blank and placeholder names, those without letters and digits or with only one repeated, and records without an identifier, are left out; a record with several names has a
     row for each; repeated rows count once; an empty table gives no rows; other columns are not read.
     """
     held = materialize(records.select(F.col(record_id).cast("string").alias("record_id"), F.col(name).alias("name")).where("record_id is not null and name is not null").distinct())

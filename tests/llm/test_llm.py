@@ -121,6 +121,13 @@ def test_words_in_another_order_are_linked(spark):
     assert got == {("1", "2"), ("1", "3"), ("2", "3"), ("4", "5"), ("4", "6"), ("5", "6"), ("11", "12"), ("13", "14")}
 
 
+def test_names_without_latin_words_are_linked(spark):
+    names = ["3M", "3m", "3M Company", "7-11", "7-11", "A & B", "a+b", "Иванов Пётр", "иванов петр", "Кафе LLC", "Сталь LLC", "王伟", "王伟", "N/A", "N.A.", "N.A.", "0", "000", "x", "X.", "??", "??"]
+    rows = [(f"{k:02}", n) for k, n in enumerate(names)]
+    got = {tuple(r) for r in linked_pairs(resolve_names(spark.createDataFrame(rows, "id string, name string"))).collect()}
+    assert got == {("00", "01"), ("00", "02"), ("01", "02"), ("03", "04"), ("05", "06"), ("07", "08"), ("11", "12")}
+
+
 # --- addresses
 
 
