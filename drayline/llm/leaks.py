@@ -26,8 +26,8 @@ SHIFT_BITS = 20
 CHUNK = 512
 #: Items searched in one pass over the documents; more are searched in further passes.
 ITEMS_PER_PASS = 20_000
-#: An opening sentence that at least this many items share is an instruction.
-SHARED_BY = 3
+#: An opening sentence that at least this many items, and this share of all, have in common is an instruction.
+SHARED_BY, SHARED_PART = 3, 0.1
 
 _DROP = re.compile(r"[^\w\s]|_")
 
@@ -37,23 +37,26 @@ def words_of(text: str) -> list[str]:
     return _DROP.sub("", text.lower()).split()
 
 
-def without_instruction(texts: list[str]) -> list[str]:
-    """Texts without the opening sentence that several of them share."""
-    opening = [re.match(r"\s*[^.!?:\n]*[.!?:\n]\s*", t) for t in texts]
-    seen: dict[str, int] = defaultdict(int)
-    for m in opening:
-        if m:
-            seen[" ".join(words_of(m.group()))] += 1
-    return [t[m.end() :] if m and seen[" ".join(words_of(m.group()))] >= SHARED_BY else t for t, m in zip(texts, opening, strict=True)]
+def without_instruction(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Items without the opening sentence that a clear share of them have in common; ``items`` are all there are.
+
+    A sentence ends at a mark before white space, or with its line; one that is a whole item is no opening.
+    """
+    opening = [re.match(r"\s*.*?(?:[.!?:](?=\s)|\n)\s*(?=\S)", t) for _, t in items]
+    keys = [" ".join(words_of(m.group())) if m else "" for m in opening]
+    seen: dict[str, set[int]] = defaultdict(set)
+    for (i, _), key in zip(items, keys, strict=True):
+        seen[key].add(i)
+    least = max(SHARED_BY, SHARED_PART * len({i for i, _ in items}))
+    return [(i, t[m.end() :] if m and key and len(seen[key]) >= least else t) for (i, t), m, key in zip(items, opening, keys, strict=True)]
 
 
 class Patterns:
     """All seeds of the items with their shift and bucket tables."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        texts = without_instruction([t for _, t in items])
         self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for t in texts]
+        self.words = [words_of(t) for _, t in items]
         self.number: dict[str, int] = {}
         coded = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for ws in self.words]
         self.coded = coded
@@ -161,12 +164,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
     Null and empty texts hold nothing, items with null texts leak nothing, and neither do items shorter than a passage.
     Texts are read whole. Repeated documents or items give one row. An item identifier that has several texts leaks if
-    one of them does. Empty tables give no rows; other columns are not read. Items are held by every task; beyond
+    one of them does. An opening shared by a clear share of all items is no part of them. Empty tables give no rows; other columns are not read. Items are held by every task; beyond
     ``ITEMS_PER_PASS`` of them, the documents are read once for each further block of items.
     """
     spark = documents.sparkSession
     held = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
-    rows = sorted((r["item_id"], r["text"]) for r in held.toLocalIterator())
+    rows = without_instruction(sorted((r["item_id"], r["text"]) for r in held.toLocalIterator()))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     found = None
     for begin in range(0, max(len(rows), 1), ITEMS_PER_PASS):

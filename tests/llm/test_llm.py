@@ -332,6 +332,18 @@ def test_leaks_in_odd_cases(spark, monkeypatch):
     assert find_leaks(d, i.limit(0)).count() == find_leaks(d.limit(0), i).count() == 0
 
 
+def test_only_the_instruction_is_cut_off_items(spark, monkeypatch):
+    line = " ".join(f"read{n}" for n in range(16)) + "."
+    rest = [" ".join(f"{c}{n}" for n in range(14)) for c in "abcdefghijklmnopqrstuvwxyzäöüéèáàóòñ"]
+    items = [(k, f"At 3.{k} {r}") for k, r in enumerate(rest[:3])] + [(k, f"Answer briefly: {rest[k]}") for k in range(3, 6)] + [(k, f"{line} {rest[k]} end") for k in range(6, 16)] + [(k, f"{rest[k]} end") for k in range(16, 36)]
+    docs = [(k, " ".join(t.split()[:15])) for k, t in items if k < 6] + [(90, line), (91, f"{rest[8]} end")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k) for k in range(6)} | {(91, 8)}
+    assert {tuple(r) for r in find_leaks(d, i).collect()} == want
+    monkeypatch.setattr("drayline.llm.leaks.ITEMS_PER_PASS", 2)
+    assert {tuple(r) for r in find_leaks(d, i).collect()} == want
+
+
 def test_shifts_skip_no_pattern():
     rng = np.random.default_rng(2)
     words = [f"v{k}" for k in range(40)]
