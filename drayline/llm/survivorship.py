@@ -26,6 +26,8 @@ FILLERS = (
 SHARED_CLUSTERS, SHARED_PART = 12, 0.0005
 #: Groups with more values than this are searched for pieces by joining, not within one row.
 MAX_VALUES_IN_ROW = 32
+#: There a value is compared with those that have its rarest run of so many letters, or all of it if it is shorter.
+RUN_OF_LETTERS = 4
 MAX_PATTERNS = 500_000
 EM_ROUNDS = 50
 #: Prior of truth for well-formed and for other values; prior counts of hits and misses of sensitivity and false affirmation.
@@ -87,18 +89,22 @@ def _with_pieces(facts: DataFrame) -> DataFrame:
     )
     if not crowded:
         return small
-    # beginnings, ends and runs of words of all values, met with the values themselves
-    some = facts.join(large, ["cluster_id", "field_name"], "left_semi")
+    # whatever holds a value holds each of its runs of letters; so all holders of the rarest run are looked at
+    key = ["cluster_id", "field_name"]
+    some = facts.join(large, key, "left_semi")
     n = F.length("fact")
-    words = F.split("fact", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.transform(F.sequence(i, F.size(words) - 1), lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), " "))))
-    pieces = (
-        some.where(~F.col("damaged") & (n > 1))
-        .select("cluster_id", "field_name", F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.substring(F.col("fact"), F.lit(1), k)), F.transform(F.sequence(F.lit(2), n), lambda k: F.substring(F.col("fact"), k, n)), F.filter(runs, lambda r: F.length(r) < n)))).alias("fact"))
-        .distinct()
-        .withColumn("found", F.lit(True))
-    )
-    met = some.join(pieces, ["cluster_id", "field_name", "fact"], "left").withColumn("piece", F.coalesce("found", F.lit(False))).select(*keep, "piece")
+
+    def runs(size: Column) -> Column:
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda k: F.substring(F.col("fact"), k, size))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*[runs(F.lit(k)) for k in range(1, RUN_OF_LETTERS + 1)]))
+    holders = materialize(some.where(~F.col("damaged")).select(*key, F.col("fact").alias("longer"), F.explode(every).alias("run")))
+    often = holders.groupBy(*key, "run").agg(F.count("*").alias("n"))
+    asked = some.select(*key, "fact", F.explode(F.array_distinct(runs(F.least(n, F.lit(RUN_OF_LETTERS))))).alias("run"))
+    rarest = asked.join(often, [*key, "run"]).groupBy(*key, "fact").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    holds = (F.length("longer") > n) & F.contains("longer", "fact")
+    pieces = rarest.join(holders, [*key, "run"]).where(holds).select(*key, "fact").distinct().withColumn("found", F.lit(True))
+    met = some.join(pieces, [*key, "fact"], "left").withColumn("piece", F.coalesce("found", F.lit(False))).select(*keep, "piece")
     return small.unionByName(met)
 
 

@@ -225,6 +225,15 @@ def test_pieces_of_crowded_groups_are_found_alike(spark, monkeypatch):
     assert usable() == first and "other firm" in first and not {"acme plu", "plumbing", "umbing supply", "acme plumbing supply"} & first
 
 
+def test_pieces_cut_on_both_sides_are_found_in_crowded_groups(spark):
+    names = ["Acme Plumbing Supply", "umbing Sup", "cm", "Plumbing Sup " + "y" * 5_000, "Bad\ufffd Other Firm", "ther Fir", "naïve œuvre GmbH", "ïve œuv"] + [f"Firm {c}{d}xyz" for c in "abcdefgh" for d in "qrstu"]
+    df = spark.createDataFrame([member("k", str(k), 1 + k % 20, name=n) for k, n in enumerate(names)], MEMBERS)
+    usable = {r.fact for r in judge_facts(df)[1].where("usable").collect()}
+    lower = [n.lower() for n in names]
+    whole = {n for n in lower if "\ufffd" not in n and not any(n != o and n in o for o in lower if "\ufffd" not in o)}
+    assert usable == whole and not {"umbing sup", "cm", "ïve œuv"} & usable and "ther fir" in usable
+
+
 def test_sources_get_their_quality():
     patterns = [(True, ("good",), ("bad",), 500), (True, ("bad",), ("good",), 60), (True, ("bad", "good"), (), 200), (False, ("bad",), (), 80)]
     hit, false, truth = fit_sources(patterns)
