@@ -191,20 +191,20 @@ def resolve_addresses(records: DataFrame) -> DataFrame:
 
     # the beam: a street name as written, and its nearest spellings where it may be a slip for one of the same town
     cores = materialize(placed.where("kind <> 'box'").groupBy("core").agg(F.count("*").alias("n")))
-    local = placed.where("kind <> 'box'").select(F.col("town").alias("scope"), F.col("core").alias("word")).distinct()
-    edges = trie_join(local).groupBy("a", "b").agg(F.min("d").alias("d"))
+    local = placed.where("kind <> 'box'").select("town", "core").distinct()
+    edges = trie_join(local.select(F.col("town").alias("scope"), F.col("core").alias("word"))).withColumnRenamed("scope", "town")
     far = cores.select(F.col("core").alias("b"), F.col("n").alias("n_b"))
     ahead = edges.join(cores.select(F.col("core").alias("a"), "n"), "a").join(far, "b").where((F.col("n_b") >= SLIP_TIMES * F.col("n")) | ((F.col("n_b") >= F.col("n")) & (F.col("n") <= 2)))
-    best = Window.partitionBy("a").orderBy("d", F.desc("n_b"), "b")
-    beam = ahead.withColumn("k", F.row_number().over(best)).where(F.col("k") < BEAM).select(F.col("a").alias("core"), F.col("b").alias("as"), "d", (F.col("n_b") >= SLIP_TIMES * F.col("n")).alias("clear"))
-    beam = materialize(beam.unionByName(cores.select("core", F.col("core").alias("as"), F.lit(0).alias("d"), F.lit(True).alias("clear"))))
+    best = Window.partitionBy("town", "a").orderBy("d", F.desc("n_b"), "b")
+    beam = ahead.withColumn("k", F.row_number().over(best)).where(F.col("k") < BEAM).select("town", F.col("a").alias("core"), F.col("b").alias("as"), "d", (F.col("n_b") >= SLIP_TIMES * F.col("n")).alias("clear"))
+    beam = materialize(beam.unionByName(local.select("town", "core", F.col("core").alias("as"), F.lit(0).alias("d"), F.lit(True).alias("clear"))))
 
     # the gazetteer: streets of each town with their known house numbers
     gazetteer = materialize(placed.where("kind <> ''").groupBy("town", F.col("core").alias("as"), F.col("kind").alias("e_kind"), F.col("direction").alias("e_direction"), F.col("number").alias("e_number")).agg(F.count("*").alias("n")))
     streets = gazetteer.groupBy("town", "as", "e_kind", "e_direction").agg(F.sum("n").alias("n"))
 
     places = placed.where("kind <> 'box'").select("town", "core", "kind", "direction", "number").distinct()
-    tried = places.join(beam, "core")
+    tried = places.join(beam, ["town", "core"])
     same_kind = (F.col("kind") == F.col("e_kind")) | (F.col("kind") == "")
     met = tried.join(streets, ["town", "as"]).where(same_kind & (F.col("direction") == F.col("e_direction")))
     met = met.join(gazetteer.withColumnRenamed("n", "houses").withColumnRenamed("e_number", "number"), ["town", "as", "e_kind", "e_direction", "number"], "left")

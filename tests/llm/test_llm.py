@@ -171,6 +171,17 @@ def groups_of(pairs):
     return least
 
 
+def test_each_town_has_its_own_neighbours_of_a_spelling(spark):
+    towns = ["Brackton", "Dunmoor", "Felwick", "Gorsham", "Hexdale"]
+    rows, want = [], set()
+    for k, (town, letter) in enumerate(zip(towns, "abcde", strict=True)):
+        rows += [(f"r{k}-{n:02}", f"{n + 1} Maplewor{letter} St", town, "") for n in range(40 - 4 * k)]
+        rows.append((f"s{k}", "7 Maplewort St", town, ""))
+        want.add((f"r{k}-06", f"s{k}"))
+    df = spark.createDataFrame(rows, "record_id string, address string, city string, zip string")
+    assert {tuple(r) for r in located_pairs(resolve_addresses(df)).collect()} == want
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     pairs = [(f"n{rng.randrange(400):03d}", f"n{rng.randrange(400):03d}") for _ in range(260)] + [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(60)] + [("hub", f"s{k}") for k in range(300)]
