@@ -12,7 +12,7 @@ from drayline.operators.normalize import flag_rows, normalize_records
 from drayline.operators.resolve import block_customers, customer_clusters, similar_pairs
 from drayline.plans.materialize import materialize
 from drayline.sources import read_table
-from drayline.sources.legacy import csv_cells, csv_text, detect_kind, fixed_cells, row_counts, wide_cells
+from drayline.sources.legacy import csv_cells, csv_line, detect_kind, fixed_cells, row_counts, wide_cells
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,7 +183,7 @@ def _lines(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
 @_query()
 def csv_cells_of_lines(spark: SparkSession, root: str) -> DataFrame:
     lines = _lines(spark, root, "routepro-csv", "quickbooks-export").withColumn("cells", csv_cells(F.col("line")))
-    return lines.select("source_file_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "\x1f").alias("cells"), csv_text([F.get("cells", F.lit(0)), F.get("cells", F.lit(1))]).alias("rewritten"))
+    return lines.select("source_file_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "\x1f").alias("cells"), csv_line(F.col("cells")).alias("rewritten"))
 
 
 @_query(r"""
@@ -273,6 +273,14 @@ def flags_of_agreements(spark: SparkSession, root: str) -> DataFrame:
     return flags.groupBy("field", "note").agg(F.count("*").alias("n"))
 
 
+@_query()
+def flags_of_records(spark: SparkSession, root: str) -> DataFrame:
+    """How often each flag stands in customers, sites and agreements, over all fields that have a rule."""
+    tables = {"customers": {"name": "name", "phone": "phone"}, "sites": {"name": "name"}, "agreements": {"startDate": "start_date", "endDate": "end_date", "containerId": "container_id", "rateCents": "rate_cents"}}
+    parts = [flag_rows(normalize_records(read_table(spark, root, t), "id", columns)).withColumn("table_name", F.lit(t)) for t, columns in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("table_name", "field", "note").agg(F.count("*").alias("n"))
+
+
 @_query("""
 select 'customers' as table_name, count(*) as n, count(distinct id) as ids, count(*) filter (where coalesce(trim(phone), '') = '') as empty from customers
 union all select 'sites', count(*), count(distinct id), count(*) filter (where not coalesce(geocodable, false)) from sites

@@ -106,9 +106,18 @@ def row_counts(lines: DataFrame) -> DataFrame:
     return real.groupBy("file_name").agg((F.count("*") - F.when(F.first(legacy), 0).otherwise(1)).alias("records"))
 
 
+def _csv_cell(v: Column) -> Column:
+    return F.when(v.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+
 def csv_text(values: list[Column]) -> Column:
     """A comma-separated line; only cells with quotes, commas or line ends are quoted."""
-    return F.concat_ws(",", *[F.when(v.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v) for v in values])
+    return F.concat_ws(",", *[_csv_cell(v) for v in values])
+
+
+def csv_line(cells: Column) -> Column:
+    """As :func:`csv_text`, of an array of any number of cells."""
+    return F.array_join(F.transform(cells, _csv_cell), ",")
 
 
 def fixed_text(values: list[Column]) -> Column:

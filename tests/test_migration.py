@@ -100,5 +100,19 @@ def test_intake_as_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/valid")).count() == 1 and spark.read.parquet(str(tmp_path / "out/rejected")).first().error == "invalid_value"
 
 
+def test_queries_cover_whole_lines_and_all_fields(spark, tmp_path):
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    save("raw_lines", [("f", 1, 'a,"b,c",,"d ""e""",g')], "source_file_id string, line_no int, line string")
+    save("source_files", [("f", "routepro-csv")], "id string, kind string")
+    save("customers", [("c", "Acme", "12")], "id string, name string, phone string")
+    save("sites", [("s", "Acme")], "id string, name string")
+    save("agreements", [("a", "2020-01-02", "nonsense", "RC-1", "much")], "id string, start_date string, end_date string, container_id string, rate_cents string")
+    assert [r.rewritten for r in entry.queries()["csv_cells_of_lines"](spark, str(tmp_path)).collect()] == ['a,"b,c",,"d ""e""",g']
+    got = {(r.table_name, r.field, r.n) for r in entry.queries()["flags_of_records"](spark, str(tmp_path)).collect()}
+    assert got == {("customers", "phone", 1), ("agreements", "endDate", 1), ("agreements", "rateCents", 1)}
+
+
 def test_every_query_has_a_name_and_sql_belongs_to_one():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 20
