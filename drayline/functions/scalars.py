@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Month names.
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 #: How legal forms are written out.
@@ -81,19 +82,22 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 
 
 def normalize_company_name(text: Column) -> Column:
-    """Capital at each word and after each hyphen; a legal form at the end in one spelling."""
+    """Capital at each word and after each hyphen; a legal form at the end in one spelling.
+
+    Commas and points before a legal form go, without one they stay.
+    """
     v = clean(text)
     words = F.split(v, " ")
-    tail = F.lower(F.regexp_replace(F.element_at(words, -1), r"^,|\.", ""))
-    form = F.when(F.size(words) > 1, _lookup(LEGAL_FORMS, tail))
-    stem = F.when(form.isNull(), words).otherwise(F.slice(words, 1, F.size(words) - 1))
-    stem = F.regexp_replace(F.array_join(stem, " "), "[,.]+$", "")
+    form = _lookup(LEGAL_FORMS, F.lower(F.regexp_replace(F.element_at(words, -1), r"^,|\.", "")))
+    before = F.regexp_replace(F.array_join(F.slice(words, 1, F.size(words) - 1), " "), "[,.]+$", "")
 
     def capital(w: Column) -> Column:
         return F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
 
-    title = F.array_join(F.transform(F.split(stem, " "), capital), " ")
-    return F.when(v == "", "").when(v.isNotNull(), F.concat_ws(" ", F.nullif(title, F.lit("")), form))
+    def title(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, " "), capital), " ")
+
+    return F.when(v == "", "").when(form.isNull(), title(v)).otherwise(F.concat_ws(" ", F.nullif(title(before), F.lit("")), form))
 
 
 def cents_of(text: Column) -> Column:
@@ -129,8 +133,10 @@ def normalize_address(text: Column) -> Column:
     return v
 
 
-def blocking_key(name: Column, phone: Column) -> Column:
-    return F.concat_ws("|", phonetic_key(name), F.coalesce(normalize_phone(phone), F.lit("")))
+def blocking_key(name: Column, phone: Column, address: Column | None = None) -> Column:
+    """Key of name and phone, each empty where there is nothing; with an address, that is a third part."""
+    parts = [phonetic_key(name), normalize_phone(phone)] + ([] if address is None else [normalize_address(address)])
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -156,17 +162,18 @@ def comparable(name: Column, phone: Column, address: Column, email: Column) -> C
         return F.coalesce(x, F.lit(""))
 
     return F.struct(
-        F.upper(strip_legal_forms(text(name))).alias("name"),
+        F.upper(normalize_company_name(text(name))).alias("name"),
         text(normalize_phone(phone)).alias("phone"),
         normalize_address(text(address)).alias("address"),
-        F.lower(clean(text(email))).alias("email"),
+        F.lower(F.regexp_replace(text(email), r"(?U)^\s+|\s+$", "")).alias("email"),
     )
 
 
 def customer_similarity(a: str, b: str) -> Column:
     """Weighted similarity of two customers, given as columns that :func:`comparable` made.
 
-    The weight of the email counts even where one has none. The same phone at the same address are at least 0.9.
+    Names are compared by edits, addresses by their words; two empty addresses are alike. The weight of the email counts
+    even where one has none. The same phone with the same words in the address are at least 0.9.
     """
 
     def both(name: str) -> tuple[Column, Column]:
@@ -176,16 +183,17 @@ def customer_similarity(a: str, b: str) -> Column:
         x, y = both(name)
         return ((x != "") & (x == y)).cast("double")
 
-    x, y = both("address")
-    address = F.when((x == "") | (y == ""), 0.0).otherwise(similarity(x, y))
-    score = F.round((similarity(*both("name")) * WEIGHTS["name"] + same("phone") * WEIGHTS["phone"] + address * WEIGHTS["address"] + same("email") * WEIGHTS["email"]) / sum(WEIGHTS.values()), 6)
-    return F.when((same("phone") == 1.0) & (address == 1.0), F.greatest(score, F.lit(0.9))).otherwise(score)
+    address = jaccard(*both("address"))
+    parts = {"name": similarity(*both("name")), "phone": same("phone"), "address": address, "email": same("email")}
+    weighted = sum((parts[k] * w for k, w in WEIGHTS.items()), start=F.lit(0.0)) / sum(WEIGHTS.values())
+    return F.round(F.when((same("phone") == 1.0) & (address == 1.0), F.greatest(weighted, F.lit(0.9))).otherwise(weighted), 6)
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a of a text's characters, as eight hexadecimal digits."""
+    """32-bit FNV-1a of a text's UTF-16 units, as eight hexadecimal digits."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    value = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    units = F.flatten(F.transform(codes, lambda c: F.when(c > 65535, F.array(F.floor((c - 65536) / 1024) + 55296, (c - 65536) % 1024 + 56320)).otherwise(F.array(c))))
+    value = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.lower(F.lpad(F.hex(value), 8, "0"))
 
 
@@ -212,3 +220,60 @@ def infer_entity_type(fields: dict[str, Column]) -> Column:
 def histogram_bucket(confidence: Column) -> Column:
     """Tenth of the unit interval, 0 to 9; 1.0 belongs to the last."""
     return F.least(F.lit(9), F.floor(confidence * 10)).cast("int")
+
+
+def multiply_cents(cents: Column, rate: Column) -> Column:
+    """Cents times a rate, halves rounded up."""
+    return F.floor(cents * rate + 0.5).cast("long")
+
+
+def shown_cents(text: Column) -> Column:
+    """Cents given as text, as an amount; what is no number stays as it is, nothing stays empty."""
+    cents = text.try_cast("double")
+    amount = F.concat(F.lit("$"), F.format_number(F.floor(cents + 0.5).cast("decimal(30,0)") / 100, 2))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(cents.isNull(), text).otherwise(amount)
+
+
+def percent(value: Column) -> Column:
+    """One decimal, as in ``12.5%``."""
+    return F.concat(F.format_string("%.1f", value * 100), F.lit("%"))
+
+
+def count_text(value: Column) -> Column:
+    return F.format_number(value, 0)
+
+
+#: What the types of exceptions are called.
+EXCEPTION_LABELS = {
+    "entity_resolution": "Possible duplicate",
+    "missing_service_code": "No service code on file",
+    "low_mapping_confidence": "Uncertain service code mapping",
+    "pricing_conflict": "Conflicting pricing",
+    "orphan_container": "No site assigned",
+    "missing_customer_reference": "Not linked to a customer yet",
+    "missing_site_reference": "Not linked to a site yet",
+    "closed_but_unbilled": "Closed but not fully billed",
+    "unmatched_scale_ticket": "Not linked to a job",
+    "ungeocodable_site": "Address needs verification",
+}
+
+
+def exception_label(kind: Column) -> Column:
+    """What a type is called; without a name of its own, the type with blanks."""
+    return F.coalesce(_lookup(EXCEPTION_LABELS, kind), F.replace(kind, F.lit("_"), F.lit(" ")))
+
+
+def first_address(forwarded: Column, real: Column) -> Column:
+    """Where a request came from: the first forwarded address, without any the real one, else ``unknown``."""
+    return F.when(F.coalesce(forwarded, F.lit("")) != "", F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))).otherwise(F.coalesce(real, F.lit("unknown")))
+
+
+def location_text(city: Column, state: Column, zip_code: Column) -> Column:
+    """What there is of town, state and zip, with commas between."""
+    return F.concat_ws(", ", *[F.nullif(x, F.lit("")) for x in (city, state, zip_code)])
+
+
+def mapped_text(lob: Column, size_yards: Column) -> Column:
+    """Line of business with its size, as in ``rolloff (20yd)``."""
+    size = F.when(size_yards.isNotNull(), F.concat(F.lit(" ("), size_yards.cast("string"), F.lit("yd)"))).otherwise("")
+    return F.when(F.coalesce(lob, F.lit("")) != "", F.concat(lob, size)).otherwise("Not mapped")

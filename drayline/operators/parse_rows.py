@@ -203,10 +203,9 @@ def parse_rows(lines: DataFrame, files: DataFrame, columns: DataFrame) -> DataFr
     if len(spec_rows) > MAX_SPEC_ROWS:
         raise ValueError(f"more than {MAX_SPEC_ROWS} column descriptions")
     spec: dict[str, list[ColumnSpec]] = {}
-    for r in sorted((r for r in spec_rows if r["kind"] is not None), key=lambda r: (r["kind"], r["pos"])):
-        column = ColumnSpec(r["column_name"], r["value_type"] or "text", bool(r["required"]), r["width"])
-        if column not in spec.setdefault(r["kind"], []):
-            spec[r["kind"]].append(column)
+    placed = {(r["kind"], r["pos"]): r for r in spec_rows if r["kind"] is not None and r["pos"] is not None}
+    for (kind, _), r in sorted(placed.items()):
+        spec.setdefault(kind, []).append(ColumnSpec(r["column_name"], r["value_type"] or "text", bool(r["required"]), r["width"]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
