@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drayline.operators.orphans import classify_references, number_key, orphan_report, parents, plain_key, references
 from drayline.operators.parse_rows import parse_rows
-from drayline.operators.timestamps import normalize_timestamps
+from drayline.operators.timestamps import infer_orders, normalize_timestamps
 from drayline.sources import read_table
 
 
@@ -44,6 +44,12 @@ def p4_status(spark: SparkSession, root: str) -> DataFrame:
     return _instants(spark, root).groupBy("source", "field_name", "status").agg(F.count("*").alias("n"))
 
 
+def p4_orders(spark: SparkSession, root: str) -> DataFrame:
+    """The order of day and month of each source, found without what the sources declare."""
+    dates = read_table(spark, root, "agreements").select("source", F.expr("stack(2, start_date, end_date) as value"))
+    return infer_orders(dates, read_table(spark, root, "source_systems")).select("source", "date_order")
+
+
 def _classified(spark: SparkSession, root: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return read_table(spark, root, name)
@@ -72,7 +78,7 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return orphan_report(_classified(spark, root).distinct())
 
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_status": p4_status, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p4_found": p4_found, "p4_status": p4_status, "p4_orders": p4_orders, "p6_found": p6_found, "p6_report": p6_report}
 
 _ORPHANS = r"""
 with target as (
@@ -91,6 +97,7 @@ with target as (
 )
 """
 SQL = {
+    "p4_orders": "select kind as source, date_order from source_systems",
     "p6_found": _ORPHANS + "select distinct table_name, record_id, reason, period from orphan",
     "p6_report": _ORPHANS + "select table_name, period, reason, count(*) as orphans from orphan group by all",
 }

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 import pyarrow as pa
 from drayline.operators.orphans import classify_references, number_key, orphan_report, parents, plain_key, references
 from drayline.operators.parse_rows import ColumnSpec, parse_lines, parse_rows
-from drayline.operators.timestamps import fit_notations, normalize_timestamps
+from drayline.operators.timestamps import fit_notations, infer_orders, normalize_timestamps
 from pyspark.sql import functions as F
 
 SPEC = [ColumnSpec("a", "text", True), ColumnSpec("b", "integer", False), ColumnSpec("c", "date_ymd", True)]
@@ -104,6 +104,23 @@ def test_undeclared_order_is_learned_or_marked(spark):
     assert got[60] == ("resolved", micros(2020, 3, 4)) and got[61] == ("ambiguous", None)
 
 
+def test_a_declared_order_is_a_prior_that_values_can_outweigh(spark):
+    got = instants(spark, [("S", "25/03/2020")] * 2000 + [("S", "04/03/2020"), ("D", "04/03/2020")])
+    assert got[2000] == ("ambiguous", None) and got[2001][0] == "resolved" and got[0] == ("impossible", None)
+
+
+def test_abbreviations_are_those_of_the_zone(spark):
+    systems = (("D", "America/Chicago", "mdy"), ("S", "Asia/Shanghai", "mdy"), ("X", "nowhere", None))
+    got = instants(spark, [("D", "2020-01-02 03:04:05 CST"), ("S", "2020-01-02 03:04:05 CST"), ("S", "2020-01-02 03:04:05 PST"), ("X", "2020-01-02 03:04:05 GMT"), ("X", "2020-01-02 03:04:05 CST")], systems)
+    assert [got[k] for k in range(5)] == [("resolved", micros(2020, 1, 2, 9, 4, 5)), ("resolved", micros(2020, 1, 1, 19, 4, 5)), ("no_single_instant", None), ("resolved", micros(2020, 1, 2, 3, 4, 5)), ("no_single_instant", None)]
+
+
+def test_orders_are_found_without_a_declaration(spark):
+    df = spark.createDataFrame([("A", "25/03/2020")] * 40 + [("B", "03/25/2020")] * 40 + [("C", "03/04/2020"), ("D", "x"), ("B", None)], "source string, value string")
+    got = {r.source: r.date_order for r in infer_orders(df, spark.createDataFrame([("A", "UTC", "mdy")], SYSTEMS)).collect()}
+    assert got == {"A": "dmy", "B": "mdy", "C": None}
+
+
 def test_mixture_prefers_what_the_source_shows():
     import pandas as pd
 
