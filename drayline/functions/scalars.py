@@ -39,7 +39,10 @@ def normalize_date(text: Column) -> Column:
 
     def day(y: Column, m: Column, d: Column) -> Column:
         text = F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-        return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+        year, number, last = (F.nullif(x, F.lit("")).cast("int") for x in (y, m, d))
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        late = F.when(number == 2, (last == 29) & leap).otherwise((last <= 30) | ((last == 31) & number.isin(1, 3, 5, 7, 8, 10, 12)))
+        return F.when((year >= 1) & number.between(1, 12) & (last >= 1) & ((last <= 28) | late), text)
 
     def part(pattern: str, k: int) -> Column:
         return F.regexp_extract(v, pattern, k)
@@ -104,8 +107,9 @@ def cents_of(text: Column) -> Column:
     """Integer cents of an amount with optional sign, currency mark and separators; null where it is no amount."""
     v = F.regexp_replace(text, r"[$,\s]", "")
     pattern = r"^(-?)([0-9]{1,15})(?:\.([0-9]{1,2}))?$"
-    units = F.regexp_extract(v, pattern, 2).try_cast("long")
-    part = F.rpad(F.regexp_extract(v, pattern, 3), 2, "0").try_cast("long")
+    # guarded, as a failed cast is an exception, which takes longer than all the rest
+    units = F.nullif(F.regexp_extract(v, pattern, 2), F.lit("")).cast("long")
+    part = F.rpad(F.regexp_extract(v, pattern, 3), 2, "0").cast("long")
     amount = units * 100 + part
     return F.when(F.regexp_extract(v, pattern, 1) == "-", -amount).otherwise(amount)
 

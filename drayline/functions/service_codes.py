@@ -44,7 +44,7 @@ def map_service_code(code: Column) -> Column:
     v = F.upper(F.trim(F.regexp_replace(code, r"(?U)\s+", " ")))
     old = F.regexp_extract(v, _RETIRED, 1)
     token, size, word = (F.regexp_extract(v, _SHAPE, k) for k in (1, 2, 3))
-    n = size.try_cast("int")
+    n = F.when(size != "", size.cast("int"))
     lob = _by_token(token, [F.lit(f[1]) for f in FAMILIES])
     canonical = _by_token(token, [F.lit(f[2]) for f in FAMILIES])
     suffixed = _by_token(token, [F.lit(f[3]) for f in FAMILIES])
@@ -61,7 +61,7 @@ def map_service_code(code: Column) -> Column:
     )
     guess = F.regexp_extract(v, _ANYWHERE, 1)
     guessed = _by_token(guess, [F.lit(f[1]) for f in FAMILIES])
-    guessed_size = F.regexp_extract(v, "([0-9]{1,2})", 1).try_cast("int")
+    guessed_size = F.nullif(F.regexp_extract(v, "([0-9]{1,2})", 1), F.lit("")).cast("int")
     notes = {
         "retired": [(F.lit(True), F.lit(RETIRED_NOTE))],
         "known": [
@@ -78,11 +78,11 @@ def map_service_code(code: Column) -> Column:
     retired, shaped, known = old != "", v.rlike(_SHAPE), lob.isNotNull()
     result = F.struct(
         F.when(retired, "rolloff").when(shaped, lob).otherwise(guessed).alias("lob"),
-        F.when(retired, old.try_cast("int")).when(shaped, n).otherwise(guessed_size).alias("size_yards"),
+        F.when(retired, F.nullif(old, F.lit("")).cast("int")).when(shaped, n).otherwise(guessed_size).alias("size_yards"),
         F.when(retired, "weekly").when(shaped & known, frequency).alias("frequency"),
         (F.when(retired, 600).when(shaped & known, F.greatest(points, F.lit(0))).when(shaped, 300).when(guessed.isNotNull(), 450).otherwise(300) / 1000).alias("confidence"),
         retired.alias("retired"),
-        F.when(retired, F.concat(F.lit("SW-RO-"), old.try_cast("int").cast("string"), F.lit("YD"))).alias("retired_as"),
+        F.when(retired, F.concat(F.lit("SW-RO-"), F.nullif(old, F.lit("")).cast("int").cast("string"), F.lit("YD"))).alias("retired_as"),
         F.when(retired, texts["retired"]).when(shaped & known, texts["known"]).when(shaped, texts["shaped"]).otherwise(texts["other"]).alias("notes"),
         F.lit(VERSION).alias("version"),
     )
