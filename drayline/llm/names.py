@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from drayline.llm.components import connected_components
 from drayline.llm.trie_join import trie_join
-from drayline.plans.materialize import materialize
+from drayline.plans.materialize import materialize, release
+from drayline.plans.skew import parallelism_of, salted_join
 
 #: What stands for no name.
 PLACEHOLDERS = (
@@ -291,7 +292,7 @@ def read_names(names: DataFrame) -> DataFrame:
                 rows.append((name, kind, core, options[0] if len(options) == 1 else None, options, generation, initial, turn, words))
             yield pd.DataFrame(rows, columns=["name", "kind", "core", "context", "options", "generation", "initial", "turn", "words"])
 
-    return once.mapInPandas(read, _READ)
+    return once.repartition(parallelism_of(once)).mapInPandas(read, _READ)
 
 
 def odd_cores(cores: DataFrame) -> DataFrame:
@@ -354,8 +355,8 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     odd = odd_cores(nodes.select("core").distinct())
     odd_bare = odd_cores(nodes.select("core").union(bare.select("core")).distinct()).join(bare, "core", "left_semi")
     odd = materialize(odd.withColumn("alone", F.lit(False)).unionByName(odd_bare.withColumn("alone", F.lit(True))))
-    # one pass finds the neighbours within contexts, those of odd cores more widely, and those of names without a context
-    # among all cores of their kind and among themselves; odd-looking cores are few, and only they may be two edits off
+    # one pass finds the neighbours within contexts, and those of names without a context among all cores of their kind and
+    # among themselves; only odd-looking cores may be two edits off
     part = F.concat_ws("|", F.lit("*"), "kind", "generation")
     within_context = nodes.select(scope.alias("scope"), F.col("core").alias("word"))
     # numbers one digit apart are different names
@@ -363,9 +364,9 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     within_all = within_context.unionByName(within_bare)
     wanted = materialize(bare.select(part.alias("scope"), F.col("core").alias("word")).distinct())
     any_context = nodes.select(part.alias("scope"), F.col("core").alias("word")).distinct()
-    odd_words = nodes.join(odd.where("not alone"), "core", "left_semi").where("length(core) >= 8").select(scope.alias("scope"), F.col("core").alias("word"))
-    odd_words = odd_words.unionByName(within_bare.join(odd.where("alone").select(F.col("core").alias("word")), "word", "left_semi").where("length(word) >= 8").select("scope", "word"))
-    found = materialize(_plausible(trie_join(within_all, more=[(within_all, odd_words, 3), (any_context, wanted, 2)]), odd))
+    near = trie_join(within_all, more=[(any_context, wanted)])
+    found = materialize(_plausible(near, odd))
+    release(near)
     loose_edges, bare_edges = found.where("startswith(scope, '*')"), found.where("startswith(scope, '?')")
     canon = _roots(nodes.withColumn("scope", scope), found.where("not scope rlike '^[*?]'"), key)
     bare_roots = _roots(bare.select(F.col("own").alias("scope"), "core", "n"), bare_edges, ["scope"]).withColumnRenamed("scope", "own")
@@ -381,8 +382,10 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     met = materialize(
         bare.withColumn("scope", part).withColumnRenamed("core", "a").join(around, ["scope", "a"])
         .join(targets, ["kind", "generation", "b"]).where(fits)
-        .groupBy("own", F.col("a").alias("core")).agg(F.collect_set(entity()).alias("found"), F.collect_set(F.when(F.col("d") == 0, entity())).alias("same"))
-        .select("own", "core", F.when(F.size("same") == 1, F.get("same", F.lit(0))).when((F.size("same") == 0) & (F.size("found") == 1), F.get("found", F.lit(0))).alias("entity"), F.lit(True).alias("several"))
+        .groupBy("own", F.col("a").alias("core"), "d").agg(F.min(entity()).alias("one"), F.max(entity()).alias("other"))
+        # the nearest decide: if they are one entity, the name belongs to it
+        .groupBy("own", "core").agg(F.min_by(F.struct("one", "other"), "d").alias("near"))
+        .select("own", "core", F.when(F.col("near.one") == F.col("near.other"), F.col("near.one")).alias("entity"), F.lit(True).alias("several"))
     )
     # what meets no entity goes with its root; what meets several stays apart from each, but together with its like
     of_root = met.select("own", F.col("core").alias("root"), F.col("entity").alias("root_entity"))
@@ -392,9 +395,11 @@ def resolve_names(records: DataFrame, record_id: str = "id", name: str = "name")
     rest = loose.join(placed, ["own", "core"]).select("name", "entity")
     means = materialize(exact.unionByName(rest))
     # entities whose names only differ in the order of their words are one
+    release(nodes, bare, odd, wanted, found, met)
     turns = materialize(turned_pairs(read.where("turn is not null").select("name", "turn", "words").join(means, "name")))
     if not turns.isEmpty():
         groups = connected_components(turns).select(F.col("record_id").alias("entity"), F.col("group_id"))
+        release(turns)
         means = means.join(groups, "entity", "left").select("name", F.coalesce("group_id", "entity").alias("entity"))
     return held.join(means, "name").select("record_id", "name", "entity")
 
@@ -403,4 +408,4 @@ def linked_pairs(resolved: DataFrame) -> DataFrame:
     """``(left_id, right_id)``: every two different records of one entity, smaller identifier first."""
     r = resolved.select("record_id", "entity").distinct()
     left, right = r.withColumnRenamed("record_id", "left_id"), r.withColumnRenamed("record_id", "right_id")
-    return left.join(right, "entity").where("left_id < right_id").select("left_id", "right_id").distinct()
+    return salted_join(left, right, "entity", "inner").where("left_id < right_id").select("left_id", "right_id").distinct()

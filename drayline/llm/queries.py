@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drayline.llm.addresses import located_pairs, resolve_addresses
+from drayline.llm.addresses import located_pairs, location_key, resolve_addresses
 from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
 from drayline.llm.names import linked_pairs, resolve_names
@@ -73,7 +73,19 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return located_pairs(resolve_addresses(tables[0].unionByName(tables[1])))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
+def p1_places(spark: SparkSession, root: str) -> DataFrame:
+    """Every customer and site with a location, with that location's key: the form that stays small where a place has many records."""
+    tables = [read_table(spark, root, t).select(F.col("id").alias("record_id"), "address", "city", "zip") for t in ("customers", "sites")]
+    r = resolve_addresses(tables[0].unionByName(tables[1]))
+    return r.select("record_id", location_key(F.col("house"), F.col("unit"), F.col("many_units")).alias("place")).distinct()
+
+
+def p3_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Every customer with a name that means somebody, with the key of whom it means."""
+    return resolve_names(read_table(spark, root, "customers")).select("record_id", "entity").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_entities": p3_entities, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 #: The value to keep, stated plainly: the usable one of the latest time.
 _SURVIVORS = r"""

@@ -1,11 +1,12 @@
-"""Joining a set of spellings with itself within a bounded edit distance, by sharded tries.
-
-A spelling is indexed under its first and its last half and looked up under every half that it can share with a neighbour;
-one edit always leaves one half whole. It also stands under its sorted letters, whole and less one, which swaps
-leave as they are. Spellings of one shard form a trie, through which a Levenshtein automaton (its state is a row of
-distances, swapped neighbours counting as one edit) enumerates the neighbours of each looked-up spelling. So one edit is
-always found, and two are wherever both fall into the same half or one of them is a swap. Shards by thirds instead of halves
-find two edits unless one falls into the first and one into the last third; their tries are larger.
+"""Joining a set of spellings with itself within a bounded edit distance, by sharded tries; no pair within the bound is lost.
+
+A scope with few spellings is one shard. Larger scopes are sharded by pieces of the spellings: for two edits a spelling is cut
+into a first, a middle and a last piece with one letter left out between them, so that no edit, not even a swap of
+neighbours, damages two pieces. If the first is damaged and the last one too, both edits are used up and the middle one is whole, at
+most one place away from where it was. So it is enough to look up the first piece at the beginning, the last at the
+end and the middle one at three places; for one edit two pieces do. Spellings of one shard form a trie, through which a
+Levenshtein automaton (its state is a row of distances, swapped neighbours counting as one edit) enumerates the
+neighbours of each looked-up spelling. Shards of any origin are split into blocks of a fixed size.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayline.plans.skew import hot_keys, parallelism_of
+from drayline.plans.materialize import materialize, release
+from drayline.plans.skew import parallelism_of
 
-#: Ends of words with more than this share of the words are looked at; their shards are split into blocks of about BLOCK_ROWS.
-SHARD_SHARE = 1 / 2000
+#: Scopes with at most so many spellings are one shard; larger shards are split into blocks of so many. Neither changes what is found.
+SCOPE_WORDS = 2000
 BLOCK_ROWS = 4000
+#: Spellings from this length on may be two edits off.
+LONG = 8
 #: Shards with so many combinations are searched for many words at once, in batches of so many words.
 BATCH_FROM, BATCH_ROWS = 400, 1000
 _END = ""
@@ -29,7 +33,7 @@ _END = ""
 
 def bound(length: int) -> int:
     """Edits allowed in a spelling of this length."""
-    return 2 if length >= 8 else 1 if length >= 4 else 0
+    return 2 if length >= LONG else 1 if length >= 4 else 0
 
 
 def neighbours(trie: dict, word: str, most: int) -> list[tuple[str, int]]:
@@ -143,7 +147,7 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
         return
 
     def rest(w: str) -> str:
-        return w[half:] if side not in "sS" else w[: len(w) - half]
+        return w[half:] if side in "pP" else w[: len(w) - half] if side in "sS" else w
 
     if len(indexed) * len(asked) >= BATCH_FROM:
         rests = [rest(w) for w in indexed]
@@ -159,7 +163,7 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
         node = trie
         for letter in rest(w):
             node = node.setdefault(letter, {})
-        # equal rests mean equal words, as the other half is shared
+        # equal rests mean equal words, as what is left out is shared
         node[_END] = w
     for q in asked:
         for w, d in neighbours(trie, rest(q), bound(len(q))):
@@ -167,55 +171,84 @@ def _shard_pairs(side: str, half: int, indexed: list[str], asked: list[str]) ->
                 yield q, w, d
 
 
-def _entries(df: DataFrame, indexed: bool, parts: int, letters: bool = False) -> DataFrame:
-    """``(scope, word, indexed, shard)`` of every shard in which a spelling stands or is looked up."""
+def _pieces(length: Column, edits: int) -> list[tuple[Column, Column]]:
+    """Begin (from 0) and size of the pieces of a spelling of that length, one letter left out between two of them."""
+    if edits == 1:
+        return [(F.lit(0), F.floor((length - 1) / 2)), (F.floor((length + 1) / 2), F.floor(length / 2))]
+    first, middle, last = (F.floor((length - k) / 3) for k in (2, 1, 0))
+    return [(F.lit(0), first), (first + 1, middle), (length - last, last)]
+
+
+def _shards(indexed: bool) -> Column:
+    """Array of the shards in which ``word`` stands or is looked up: kind and size (of middle pieces: begin), then the piece."""
     n = F.length("word")
-    names = ("p", "s") if parts == 2 else ("P", "S")
-    keys = [f"concat('{names[0]}', h, ':', substring(word, 1, h))", f"concat('{names[1]}', h, ':', right(word, h))"]
-    w = df.select("scope", "word").where("scope is not null and length(word) >= 4")
-    steps = (0,) if indexed else (-2, -1, 0, 1, 2)
-    h = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in steps]), lambda k: F.floor((n + k) / parts).cast("int")))
-    by_part = w.withColumn("h", F.explode(h)).where("h > 0 and h <= length(word)").select("scope", "word", F.lit(indexed).alias("indexed"), F.expr(f"explode(array({keys[0]}, {keys[1]}))").alias("shard"))
-    if not letters:
-        return by_part
-    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("a0:"), F.array_join(F.concat(F.slice("letters", F.lit(1), k - 1), F.slice("letters", k + 1, n)), "")))
-    every = F.array_distinct(F.concat(F.array(F.concat(F.lit("a0:"), F.array_join("letters", ""))), less))
-    by_letters = w.withColumn("letters", F.array_sort(F.split("word", ""))).select("scope", "word", F.lit(indexed).alias("indexed"), F.explode(every).alias("shard"))
-    return by_part.unionByName(by_letters)
-
-
-def trie_join(words: DataFrame, asked: DataFrame | None = None, more: Sequence[tuple[DataFrame, DataFrame, int]] = ()) -> DataFrame:
-    """``(scope, a, b, d)``: different spellings of one scope within the bounded distance.
+
+    def key(kind: str, number: Column, begin: Column, size: Column) -> Column:
+        return F.concat(F.lit(kind), number.cast("int").cast("string"), F.lit(":"), F.substring("word", (begin + 1).cast("int"), size.cast("int")))
+
+    keys: list[Column] = []
+    for edits, kinds in ((1, "ps"), (2, "PS")):
+        for more in (0,) if indexed else range(-edits, edits + 1):
+            # the length that the other spelling has
+            length = n + more
+            pieces = _pieces(length, edits)
+            fits = (n >= LONG) & (length >= LONG) if edits == 2 else (n >= 4) & (length >= 4) & (F.least(n, length) < (LONG if not indexed else LONG + 1)) & (F.greatest(n, length) <= LONG)
+            (_, first), (_, last) = pieces[0], pieces[-1]
+            keys.append(F.when(fits, key(kinds[0], first, F.lit(0), first)))
+            keys.append(F.when(fits, key(kinds[1], last, n - last, last)))
+            if edits == 2:
+                begin, size = pieces[1]
+                for moved in (0,) if indexed else [d for d in (-1, 0, 1) if abs(-more - d) <= 1]:
+                    keys.append(F.when(fits & (begin + moved + size <= n), key("M", begin, begin + moved, size)))
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+
+def _entries(words: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """``(scope, word, indexed, asked, shard)``: every shard in which a spelling stands or is looked up."""
+    usable = "scope is not null and length(word) >= 4"
+    index = words.select("scope", "word", F.lit(True).alias("indexed"), F.lit(asked is None).alias("asked")).where(usable)
+    every = index if asked is None else index.unionByName(asked.select("scope", "word", F.lit(False).alias("indexed"), F.lit(True).alias("asked")).where(usable))
+    sizes = every.groupBy("scope").agg(F.greatest(F.count_if("indexed"), F.count_if("asked")).alias("n"))
+    small = sizes.where(F.col("n") <= SCOPE_WORDS).select("scope", F.lit(True).alias("small"))
+    placed = every.join(small, "scope", "left")
+    whole = placed.where("small").select("scope", "word", "indexed", "asked", F.lit("W0:").alias("shard"))
+    rest = placed.where("small is null")
+    parts = [rest.where(side).select("scope", "word", F.lit(side == "indexed").alias("indexed"), F.lit(side == "asked").alias("asked"), F.explode(_shards(side == "indexed")).alias("shard")) for side in ("indexed", "asked")]
+    return whole.unionByName(parts[0]).unionByName(parts[1])
+
+
+def trie_join(words: DataFrame, asked: DataFrame | None = None, more: Sequence[tuple[DataFrame, DataFrame]] = ()) -> DataFrame:
+    """``(scope, a, b, d)``: different spellings of one scope within the bounded distance, all of them.
 
     ``words`` holds ``scope`` and ``word``, each pair once. ``asked``, of the same form, says for which spellings neighbours
     ``b`` among ``words`` are wanted; without it they are for all ``words``, and the result has both directions. ``more``
-    has further pairs like ``words`` and ``asked``, searched in the same pass, by halves and letters (2) or by thirds (3). Nulls and spellings too short for any edit have
-    no neighbours. An empty table gives no rows; other columns are not read.
+    has further pairs like ``words`` and ``asked``, of other scopes, searched in the same pass. Nulls and spellings too short
+    for any edit have no neighbours. An empty table gives no rows; other columns are not read.
     """
-    symmetric = asked is None
-    entries = _entries(words, True, 2, True).unionByName(_entries(words if symmetric else asked, False, 2, True))
-    for other, wanted, parts in more:
-        entries = entries.unionByName(_entries(other, True, parts, parts == 2)).unionByName(_entries(wanted, False, parts, parts == 2))
-    shard = F.concat_ws("\x1f", "shard", "scope")
-    entries = entries.withColumn("shard", shard)
-    # heavy shards are those of frequent ends of words
-    every = words
-    for other, _, _ in more:
-        every = every.unionByName(other)
-    sample = every.where("length(word) >= 4").select(F.expr("concat(right(word, 3), '\x1f', scope)").alias("tail"))
-    total = max(1, every.count())
-    ways = {k: int(s * total / BLOCK_ROWS) + 1 for k, s in hot_keys(sample, F.col("tail"), SHARD_SHARE).items() if s * total > BLOCK_ROWS}
-    if ways:
-        # at most 1/SHARD_SHARE rows; words that share an end of three letters or more share their tail
-        split = F.broadcast(words.sparkSession.createDataFrame(list(ways.items()), "tail string, m int"))
-        tail = F.when(F.col("shard").rlike("^[sS](?:[3-9]|[1-9][0-9]+):"), F.concat(F.expr("right(word, 3)"), F.lit("\x1f"), F.col("scope")))
-        entries = entries.withColumn("tail", tail).join(split, "tail", "left").drop("tail")
-        own_block = F.pmod(F.xxhash64("word"), F.col("m").cast("long")).cast("int")
-        # an indexed spelling stands in one row of blocks, a looked-up one in one column
-        blocks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.when(F.col("indexed"), own_block * F.col("m") + k).otherwise(k * F.col("m") + own_block))
-        entries = entries.withColumn("block", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(blocks))).drop("m")
+    entries = _entries(words, asked)
+    for other, wanted in more:
+        entries = entries.unionByName(_entries(other, wanted))
+    entries = entries.withColumn("shard", F.concat_ws("\x1f", "shard", "scope"))
+    sizes = entries.groupBy(F.xxhash64("shard").alias("key")).agg(F.count_if("indexed").alias("i"), F.count_if("asked").alias("q"))
+    # the larger shards; those that hash alike are split alike, which does no harm
+    rows, columns = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("i", "q"))
+    large = materialize(sizes.where((F.col("i") > 0) & (F.col("q") > 0) & (F.col("i") + F.col("q") > 2 * BLOCK_ROWS)).select("key", rows.alias("rows"), columns.alias("columns")))
+    if large.isEmpty():
+        placed = entries.withColumn("block", F.lit(0))
     else:
-        entries = entries.withColumn("block", F.lit(0))
+        split = entries.withColumn("key", F.xxhash64("shard")).join(large, "key", "left").drop("key")
+        own = F.xxhash64("word")
+
+        def blocks(fixed: str, other: str, down: bool) -> Column:
+            mine = F.pmod(own, F.col(fixed).cast("long")).cast("int")
+            return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: mine * F.col("columns") + k if down else k * F.col("columns") + mine)
+
+        # an indexed spelling stands in one row of blocks, a looked-up one in one column; one that is both is two here
+        one = split.where("rows is null").withColumn("block", F.lit(0))
+        many = split.where("rows is not null")
+        index = many.where("indexed").withColumns({"asked": F.lit(False), "block": F.explode(blocks("rows", "columns", True))})
+        look = many.where("asked").withColumns({"indexed": F.lit(False), "block": F.explode(blocks("columns", "rows", False))})
+        placed = one.unionByName(index).unionByName(look).drop("rows", "columns")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, indexed, asked = None, [], []
@@ -228,19 +261,20 @@ def trie_join(words: DataFrame, asked: DataFrame | None = None, more: Sequence[t
                 out.extend((scope, *found) for found in _shard_pairs(side[0], int(side[1:]), indexed, asked))
 
         for batch in batches:
-            for s, b, word, is_index in zip(batch["shard"], batch["block"], batch["word"], batch["indexed"], strict=True):
+            for s, b, word, stands, wanted in zip(batch["shard"], batch["block"], batch["word"], batch["indexed"], batch["asked"], strict=True):
                 if (s, b) != current:
                     close()
                     current, indexed, asked = (s, b), [], []
-                (indexed if is_index else asked).append(word)
+                if stands:
+                    indexed.append(word)
+                if wanted:
+                    asked.append(word)
             yield pd.DataFrame(out, columns=["scope", "a", "b", "d"])
             out = []
         close()
         yield pd.DataFrame(out, columns=["scope", "a", "b", "d"])
 
-    placed = entries.repartition(parallelism_of(entries), "shard", "block").sortWithinPartitions("shard", "block")
-    found = placed.mapInPandas(search, "scope string, a string, b string, d int")
-    if symmetric:
-        # of two edits, one direction may share a half that the other doesn't look up
-        found = found.select("scope", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "d").select("scope", "p.a", "p.b", "d")
-    return found.groupBy("scope", "a", "b").agg(F.min("d").alias("d"))
+    ready = placed.select("shard", "block", "word", "indexed", "asked").repartition(parallelism_of(entries) * 2, "shard", "block").sortWithinPartitions("shard", "block")
+    found = materialize(ready.mapInPandas(search, "scope string, a string, b string, d int").groupBy("scope", "a", "b").agg(F.min("d").alias("d")))
+    release(large)
+    return found
