@@ -10,7 +10,7 @@ from drayline.llm.components import connected_components
 from drayline.llm.leaks import find_leaks
 from drayline.llm.names import linked_pairs, resolve_names
 from drayline.llm.packing import count_tokens, pack, packing_quality
-from drayline.llm.survivorship import FILLERS, retained_values, surviving_values
+from drayline.llm.survivorship import FILLERS, canonical_fields, retained_values, surviving_values
 from drayline.llm.truncation import judge_endings, truncation_rates
 from drayline.sources import read_table
 
@@ -45,6 +45,14 @@ def p5_retained(spark: SparkSession, root: str) -> DataFrame:
     return retained_values(read_table(spark, root, "cluster_members"))
 
 
+def p5_canonical(spark: SparkSession, root: str) -> DataFrame:
+    """Entities with the fields that survive in their cluster."""
+    fields = canonical_fields(read_table(spark, root, "cluster_members"))
+    e = read_table(spark, root, "resolved_entities").where("entity_type = 'customer'").select("job_id", "id", "cluster_id").distinct()
+    joined = e.join(fields, "cluster_id")
+    return joined.select("job_id", "id", *[F.try_element_at("canonical_fields", F.lit(f)).alias(f) for f in ("name", "phone", "email", "address")])
+
+
 def p8_pack(spark: SparkSession, root: str) -> DataFrame:
     """Every document's pieces with their container of 2,048 tokens."""
     return pack(count_tokens(read_table(spark, root, "documents")), 2048)
@@ -85,7 +93,7 @@ def p3_entities(spark: SparkSession, root: str) -> DataFrame:
     return resolve_names(read_table(spark, root, "customers")).select("record_id", "entity").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_entities": p3_entities, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_entities": p3_entities, "p8_pack": p8_pack, "p8_pack_512": p8_pack_512, "p8_quality": p8_quality, "p5_found": p5_found, "p5_retained": p5_retained, "p5_canonical": p5_canonical, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 #: The value to keep, stated plainly: the usable one of the latest time.
 _SURVIVORS = r"""
@@ -96,7 +104,9 @@ e as (select *, case when field_name = 'phone' and length(regexp_replace(value,
   case field_name when 'phone' then regexp_matches(g, '^[2-9][0-9]{2}[2-9][0-9]{6}$') and regexp_matches(value, '^[+]?[0-9(][0-9 ().\-/]*$') and replace(g, left(g, 1), '') <> ''
    when 'email' then regexp_matches(p, '^[a-z0-9][a-z0-9._%+-]*@[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9-]+)*\.[a-z]{2,}$') and not contains(p, '..')
    when 'address' then regexp_matches(p, '[0-9]') and regexp_matches(p, '\p{L}{2,}') else regexp_matches(p, '\p{L}{2,}') end and not damaged and p not in (FILLERS) form from d),
-shared as (select field_name, fact from e where field_name <> 'address' group by all having count(distinct cluster_id) >= 12 and count(distinct cluster_id) >= 0.0005 * (select count(distinct cluster_id) from e)),
+fc as (select distinct cluster_id, field_name, fact from e),
+og as (select cluster_id, field_name, min(left(fact, 2)) lo, max(left(fact, 2)) hi from e where form group by all),
+shared as (select field_name, fact from fc left join og using (cluster_id, field_name) group by all having count(*) >= 12 and avg(coalesce(lo <> left(fact, 2) or hi <> left(fact, 2), false)::int) >= 0.8),
 u as (select * from e where form and (field_name, fact) not in (select field_name, fact from shared)
   and not exists (select 1 from e o where o.cluster_id = e.cluster_id and o.field_name = e.field_name and not o.damaged and length(o.fact) > length(e.fact) and contains(o.fact, e.fact))),
 b as (select cluster_id, field_name, arg_max(value, (coalesce(updated_at, timestamptz '0001-01-01'), value)) v from u group by all)
@@ -104,6 +114,9 @@ select cluster_id, field_name, min(record_id) as record_id from u join b using (
 
 SQL: dict[str, str] = {
     "p5_found": _SURVIVORS,
+    "p5_canonical": _SURVIVORS[: _SURVIVORS.rindex("select cluster_id, field_name, min(record_id)")] + """
+select job_id, id, max(v) filter (where field_name = 'name') as name, max(v) filter (where field_name = 'phone') as phone, max(v) filter (where field_name = 'email') as email, max(v) filter (where field_name = 'address') as address
+from (select distinct job_id, id, cluster_id from resolved_entities where entity_type = 'customer') join b using (cluster_id) group by all""",
     "p7_found": """
 with recursive edge as (
   select left_id a, right_id b from match_pairs where is_match and trim(left_id) <> '' and trim(right_id) <> ''

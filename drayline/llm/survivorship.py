@@ -1,38 +1,44 @@
 """Best representative of each duplicate group, by a latent model of two-sided source quality.
 
 Every distinct value of a field within a cluster is a fact that is true or false; a cluster's field may have several true
-ones. A source affirms a fact by carrying it, and denies it by carrying another value later. Expectation-maximisation infers
-each source's sensitivity and specificity together with the facts' truth. Of the facts judged true all are retained;
-the survivor is the one seen last. Facts with the same votes have the same posterior, so the model only sees
-how often each pattern of votes occurs.
+ones. A source affirms a fact by carrying it, and denies it by carrying only other values of the field; a denial that came later
+than the fact is another matter than one that came before. Expectation-maximisation infers how often each source
+affirms and denies true facts and false ones, together with the facts' truth. Of the facts judged true all are retained;
+the survivor is the one of them seen last. A late value of a source that is mostly wrong is judged false, and then an earlier
+one survives. Facts with the same votes have the same posterior, so the model only sees how often each pattern of votes occurs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayline.plans.materialize import materialize
+from drayline.plans.materialize import materialize, release
 from drayline.plans.skew import salted_join
 
 FIELDS = ("name", "phone", "email", "address")
 #: Texts that people type into a field that must not stay empty.
 FILLERS = (
     "unknown", "n/a", "na", "none", "null", "nil", "tbd", "tba", "test", "xxx", "-", "--", ".", "?", "0", "customer", "see notes", "see site", "see file",
-    "no name", "noname", "no address on file", "no address", "same as billing", "rural - ask driver", "call office", "noemail", "no email", "none@none.example", "noreply@none.example", "pending",
+    "no name", "noname", "no address on file", "no address", "same as billing", "rural - ask driver", "call office", "noemail", "no email", "none@none.example", "noreply@none.example", "pending", "do not use",
 )
-#: A value that so many clusters share, and such a part of them, is a filler too.
-SHARED_CLUSTERS, SHARED_PART = 12, 0.0005
+#: A value of so many clusters is a filler too if so many of them have a well-formed value that begins otherwise.
+SHARED_CLUSTERS, CONTRADICTED = 12, 0.8
 #: Groups with more values than this are searched for pieces by joining, not within one row.
 MAX_VALUES_IN_ROW = 32
 #: There a value is compared with those that have its rarest run of so many letters, or all of it if it is shorter.
 RUN_OF_LETTERS = 4
-MAX_PATTERNS = 500_000
+#: Up to so many patterns of votes the rounds run in one process, beyond that on all executors; the sums are the same.
+LOCAL_PATTERNS = 200_000
 EM_ROUNDS = 50
-#: Prior of truth for well-formed and for other values; prior counts of hits and misses of sensitivity and false affirmation.
-PRIOR_WELL, PRIOR_ILL = 0.9, 0.01
-SENSITIVITY_PRIOR, FALSE_PRIOR = (5.0, 5.0), (1.0, 50.0)
+#: Prior of truth of usable values, and what others get, which have no votes; prior counts of a source's votes on true and on
+#: false facts: it affirms, denied before, denies later.
+PRIOR, UNUSABLE = 0.75, 0.01
+TRUE_VOTES, FALSE_VOTES = (20.0, 18.0, 2.0), (8.0, 12.0, 20.0)
 MIN_TRUTH = 0.5
 
 _DAMAGE = r"[\x{FFFD}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{0080}-\x{009F}]"
@@ -108,32 +114,91 @@ def _with_pieces(facts: DataFrame) -> DataFrame:
     return small.unionByName(met)
 
 
-def fit_sources(patterns: list[tuple[bool, tuple[str, ...], tuple[str, ...], int]]) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
-    """Sensitivity and false affirmation of each source, and each pattern's probability of truth.
+Pattern = tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], int]
+Rates = dict[str, np.ndarray]
+
+
+def _posterior(patterns: list[Pattern], rates: Rates) -> np.ndarray:
+    """Each pattern's probability of truth under the sources' rates (rows true and false; columns the three votes)."""
+    out = np.empty(len(patterns))
+    for k, (*votes, _) in enumerate(patterns):
+        odds = np.log(PRIOR) - np.log1p(-PRIOR)
+        for column, sources in enumerate(votes):
+            for s in sources:
+                odds += np.log(rates[s][0, column]) - np.log(rates[s][1, column])
+        out[k] = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return out
+
+
+def _tally(patterns: list[Pattern], rates: Rates) -> Rates:
+    """Votes of each source on true and on false facts, as expected under its rates."""
+    sums: Rates = {}
+    for (*votes, n), p in zip(patterns, _posterior(patterns, rates).tolist(), strict=True):
+        for column, sources in enumerate(votes):
+            for s in sources:
+                t = sums.setdefault(s, np.zeros((2, 3)))
+                t[0, column] += n * p
+                t[1, column] += n * (1 - p)
+    return sums
+
+
+def _rates(sums: Rates) -> Rates:
+    prior = np.array([TRUE_VOTES, FALSE_VOTES])
+    return {s: (prior + t) / (prior + t).sum(1, keepdims=True) for s, t in sums.items()}
+
 
-    A pattern is (well-formed, affirming sources, denying sources, number of facts).
+def fit_sources(patterns: list[Pattern]) -> tuple[Rates, np.ndarray]:
+    """Rates of each source's votes on true and false facts, and each pattern's probability of truth.
+
+    A pattern is (affirming sources, sources that denied before, sources that deny later, number of facts).
     """
-    sources = sorted({s for _, a, d, _ in patterns for s in (*a, *d)})
-    at = {s: k for k, s in enumerate(sources)}
-    yes, no = np.zeros((len(patterns), len(sources))), np.zeros((len(patterns), len(sources)))
-    for k, (_, a, d, _) in enumerate(patterns):
-        yes[k, [at[s] for s in a]] = 1
-        no[k, [at[s] for s in d]] = 1
-    n = np.array([p[3] for p in patterns], float)
-    prior = np.where([p[0] for p in patterns], PRIOR_WELL, PRIOR_ILL)
-    hit, false = np.full(len(sources), 0.5), np.full(len(sources), 0.02)
-    truth = prior
+    rates = _rates({s: np.zeros((2, 3)) for *votes, _ in patterns for sources in votes for s in sources})
     for _ in range(EM_ROUNDS):
-        log_true = np.log(prior) + yes @ np.log(hit) + no @ np.log1p(-hit)
-        log_false = np.log1p(-prior) + yes @ np.log(false) + no @ np.log1p(-false)
-        fresh = 1 / (1 + np.exp(np.clip(log_false - log_true, -500, 500)))
-        done, truth = np.abs(fresh - truth).max(initial=0) < 1e-9, fresh
-        w1, w0 = n * truth, n * (1 - truth)
-        hit = (SENSITIVITY_PRIOR[0] + w1 @ yes) / (sum(SENSITIVITY_PRIOR) + w1 @ (yes + no))
-        false = (FALSE_PRIOR[0] + w0 @ yes) / (sum(FALSE_PRIOR) + w0 @ (yes + no))
+        fresh = _rates(_tally(patterns, rates))
+        done, rates = all(np.abs(fresh[s] - rates[s]).max() < 1e-9 for s in rates), fresh
         if done:
             break
-    return dict(zip(sources, hit.tolist(), strict=True)), dict(zip(sources, false.tolist(), strict=True)), truth
+    return rates, _posterior(patterns, rates)
+
+
+_PATTERN = "affirm array<string>, before array<string>, later array<string>"
+
+
+def _patterns_of(pdf: pd.DataFrame) -> list[Pattern]:
+    return [(tuple(a), tuple(b), tuple(c), int(n)) for a, b, c, n in zip(pdf["affirm"], pdf["before"], pdf["later"], pdf["n"], strict=True)]
+
+
+def judge_patterns(patterns: DataFrame) -> DataFrame:
+    """Adds ``p_true`` to patterns of votes (``affirm``, ``before``, ``later``, ``n``).
+
+    Many patterns are tallied where they lie; only the sums by source come to the driver.
+    """
+    spark = patterns.sparkSession
+    if patterns.limit(LOCAL_PATTERNS + 1).count() <= LOCAL_PATTERNS:
+        pdf = patterns.toPandas()
+        listed = sorted(_patterns_of(pdf))
+        _, truth = fit_sources(listed)
+        return spark.createDataFrame([(list(a), list(b), list(c), float(p)) for (a, b, c, _), p in zip(listed, truth, strict=True)], _PATTERN + ", p_true double")
+    names = [r["s"] for r in patterns.select(F.explode(F.concat("affirm", "before", "later")).alias("s")).distinct().collect()]
+    rates = _rates({s: np.zeros((2, 3)) for s in names})
+    for _ in range(EM_ROUNDS):
+
+        def tally(batches: Iterator[pd.DataFrame], rates: Rates = rates) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                sums = _tally(_patterns_of(pdf), rates)
+                yield pd.DataFrame({"s": list(sums), "t": [t.ravel().tolist() for t in sums.values()]})
+
+        parts = patterns.mapInPandas(tally, "s string, t array<double>").groupBy("s").agg(*[F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(6)]).collect()
+        fresh = _rates({s: np.zeros((2, 3)) for s in names} | {r["s"]: np.array(r[1:]).reshape(2, 3) for r in parts})
+        done, rates = all(np.abs(fresh[s] - rates[s]).max() < 1e-9 for s in names), fresh
+        if done:
+            break
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="n").assign(p_true=_posterior(_patterns_of(pdf), rates))
+
+    return patterns.select("affirm", "before", "later", "n").mapInPandas(judge, _PATTERN + ", p_true double")
 
 
 def judge_facts(members: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
@@ -142,40 +207,45 @@ def judge_facts(members: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[D
     See :func:`surviving_values` for what counts.
     """
     claims = materialize(_claims(members, fields))
+    source = F.coalesce("source", F.lit(""))
     facts = claims.groupBy("cluster_id", "field_name", "fact").agg(
         F.max(_well_formed(F.col("field_name"), F.col("value"))).alias("well"),
         F.min(F.col("value").rlike(_DAMAGE)).alias("damaged"),
         F.max("updated_at").alias("last_at"),
-        F.sort_array(F.collect_set(F.coalesce("source", F.lit("")))).alias("affirm"),
+        F.sort_array(F.collect_set(source)).alias("affirm"),
     )
-    clusters = claims.select("cluster_id").distinct().count()
-    shared = (
-        facts.where("field_name <> 'address'").groupBy("field_name", "fact").agg(F.count("*").alias("n"))
-        .where((F.col("n") >= SHARED_CLUSTERS) & (F.col("n") >= SHARED_PART * clusters)).select("field_name", "fact", F.lit(True).alias("filler"))
-    )
-    # at most fields / SHARED_PART values can be so common
-    facts = _with_pieces(facts).join(F.broadcast(shared), ["field_name", "fact"], "left")
-    facts = facts.withColumn("usable", F.col("well") & ~F.col("piece") & F.col("filler").isNull()).drop("filler", "well", "damaged", "piece")
+    pieced = materialize(_with_pieces(facts))
+    # of each cluster and field how its well-formed values begin
+    begins = pieced.where("well").groupBy("cluster_id", "field_name").agg(F.min(F.substring("fact", 1, 2)).alias("low"), F.max(F.substring("fact", 1, 2)).alias("high"))
+    often = pieced.groupBy("field_name", "fact").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_CLUSTERS).drop("n")
+    begin = F.substring("fact", 1, 2)
+    spread = salted_join(pieced.select("cluster_id", F.concat_ws("\x1f", "field_name", "fact").alias("value"), "field_name", "fact"), often.select(F.concat_ws("\x1f", "field_name", "fact").alias("value")), "value", "inner")
+    against = spread.join(begins, ["cluster_id", "field_name"], "left").select("field_name", "fact", F.coalesce((F.col("low") != begin) | (F.col("high") != begin), F.lit(False)).alias("other"))
+    fillers = against.groupBy("field_name", "fact").agg(F.avg(F.col("other").cast("double")).alias("part")).where(F.col("part") >= CONTRADICTED).select(F.concat_ws("\x1f", "field_name", "fact").alias("value"), F.lit(True).alias("filler"))
+    named = pieced.withColumn("value", F.concat_ws("\x1f", "field_name", "fact"))
+    judged = salted_join(named, fillers, "value").withColumn("usable", F.col("well") & ~F.col("piece") & F.col("filler").isNull())
+    facts = materialize(judged.select("cluster_id", "field_name", "fact", "usable", "last_at", "affirm"))
     # of each cluster and field the sources that have a usable value, and when each had its last
     last = (
         claims.join(facts.where("usable").select("cluster_id", "field_name", "fact"), ["cluster_id", "field_name", "fact"])
-        .groupBy("cluster_id", "field_name", F.coalesce("source", F.lit("")).alias("source"))
+        .groupBy("cluster_id", "field_name", source.alias("source"))
         .agg(F.max("updated_at").alias("at"))
         .groupBy("cluster_id", "field_name")
         .agg(F.collect_list(F.struct("source", "at")).alias("covering"))
         .select(F.concat_ws("\x1f", "cluster_id", "field_name").alias("group"), "covering")
     )
     voted = salted_join(facts.withColumn("group", F.concat_ws("\x1f", "cluster_id", "field_name")), last, "group").drop("group")
-    deny = F.transform(F.filter(F.coalesce("covering", F.array().cast("array<struct<source:string,at:timestamp>>")), lambda c: (c["at"] > F.col("last_at")) & ~F.array_contains("affirm", c["source"])), lambda c: c["source"])
-    voted = materialize(voted.withColumn("deny", F.sort_array(deny)).drop("covering"))
-    rows = voted.groupBy("usable", "affirm", "deny").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of votes: too many sources for this model")
-    rows = sorted((r["usable"], tuple(r["affirm"]), tuple(r["deny"]), r["n"]) for r in rows)
-    _, _, truth = fit_sources(rows) if rows else ({}, {}, np.zeros(0))
-    spark = members.sparkSession
-    posterior = spark.createDataFrame([(u, list(a), list(d), float(p)) for (u, a, d, _), p in zip(rows, truth, strict=True)], "usable boolean, affirm array<string>, deny array<string>, p_true double")
-    judged = voted.join(F.broadcast(posterior), ["usable", "affirm", "deny"], "left")
+    others = F.filter(F.coalesce("covering", F.array().cast("array<struct<source:string,at:timestamp>>")), lambda c: ~F.array_contains("affirm", c["source"]))
+    after = lambda c: F.coalesce(c["at"] > F.col("last_at"), c["at"].isNotNull())  # noqa: E731 -- null times are the oldest
+    voted = voted.withColumns({
+        "before": F.sort_array(F.transform(F.filter(others, lambda c: ~after(c)), lambda c: c["source"])),
+        "later": F.sort_array(F.transform(F.filter(others, after), lambda c: c["source"])),
+    }).drop("covering")
+    voted = materialize(voted)
+    release(pieced, facts)
+    patterns = materialize(voted.where("usable").groupBy("affirm", "before", "later").agg(F.count("*").alias("n")))
+    posterior = judge_patterns(patterns)
+    judged = voted.join(posterior, ["affirm", "before", "later"], "left").withColumn("p_true", F.when(F.col("usable"), F.col("p_true")).otherwise(UNUSABLE))
     return claims, judged.select("cluster_id", "field_name", "fact", "usable", "p_true", "last_at")
 
 
@@ -206,3 +276,13 @@ def retained_values(members: DataFrame, fields: tuple[str, ...] = FIELDS) -> Dat
     """All usable facts judged true, with their probability; a field may keep several."""
     _, judged = judge_facts(members, fields)
     return judged.where(F.col("usable") & (F.col("p_true") >= MIN_TRUTH)).select("cluster_id", "field_name", "fact", "p_true")
+
+
+def canonical_fields(members: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(cluster_id, canonical_fields)``: of each cluster the map of its fields to the values that survive.
+
+    Fields without a usable value are missing from the map, clusters without any from the result.
+    """
+    best = surviving_values(members, fields)
+    # at most one value of each field
+    return best.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "value")))).alias("canonical_fields"))
