@@ -18,14 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drayline.plans.materialize import materialize
+
 SEED, BLOCK = 5, 2
 MIN_WORDS, ONE_IN = 15, 7
 #: A passage that is clean enough has a part of at most this many words beside a seed that is so too.
 REACH, BAND = 28, 4
 SHIFT_BITS = 20
 CHUNK = 512
-#: Items searched in one pass over the documents; more are searched in further passes.
-ITEMS_PER_PASS = 20_000
+#: Letters of items searched in one pass over the documents; more items are searched in further passes, which find the same.
+LETTERS_PER_PASS = 20_000_000
 #: An opening sentence that at least this many items, and this share of all, have in common is an instruction.
 SHARED_BY, SHARED_PART = 3, 0.1
 
@@ -37,18 +39,29 @@ def words_of(text: str) -> list[str]:
     return _DROP.sub("", text.lower()).split()
 
 
-def without_instruction(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Items without the opening sentence that a clear share of them have in common; ``items`` are all there are.
+def opening(text: str) -> tuple[str, str]:
+    """Words of the opening sentence, and the text behind it; no words where the text is one sentence.
 
-    A sentence ends at a mark before white space, or with its line; one that is a whole item is no opening.
+    A sentence ends at a mark before white space, or with its line.
     """
-    opening = [re.match(r"\s*.*?(?:[.!?:](?=\s)|\n)\s*(?=\S)", t) for _, t in items]
-    keys = [" ".join(words_of(m.group())) if m else "" for m in opening]
-    seen: dict[str, set[int]] = defaultdict(set)
-    for (i, _), key in zip(items, keys, strict=True):
-        seen[key].add(i)
-    least = max(SHARED_BY, SHARED_PART * len({i for i, _ in items}))
-    return [(i, t[m.end() :] if m and key and len(seen[key]) >= least else t) for (i, t), m, key in zip(items, opening, keys, strict=True)]
+    m = re.match(r"\s*.*?(?:[.!?:](?=\s)|\n)\s*(?=\S)", text)
+    return (" ".join(words_of(m.group())), text[m.end() :]) if m else ("", text)
+
+
+def without_instruction(items: DataFrame) -> DataFrame:
+    """``(item_id, text)`` without the opening sentence that a clear share of all items have in common."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [opening(t) for t in batch["text"]]
+            yield batch.assign(key=[k for k, _ in parts], rest=[r for _, r in parts])
+
+    opened = items.mapInPandas(split, "item_id long, text string, key string, rest string")
+    counts = opened.where("key <> ''").groupBy("key").agg(F.count_distinct("item_id").alias("n"))
+    total = items.select("item_id").distinct().count()
+    # at most 1/SHARED_PART openings
+    shared = counts.where(F.col("n") >= max(SHARED_BY, SHARED_PART * total)).select("key", F.lit(True).alias("shared"))
+    return opened.join(F.broadcast(shared), "key", "left").select("item_id", F.when(F.col("shared"), F.col("rest")).otherwise(F.col("text")).alias("text"))
 
 
 class Patterns:
@@ -164,16 +177,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
     Null and empty texts hold nothing, items with null texts leak nothing, and neither do items shorter than a passage.
     Texts are read whole. Repeated documents or items give one row. An item identifier that has several texts leaks if
-    one of them does. An opening shared by a clear share of all items is no part of them. Empty tables give no rows; other columns are not read. Items are held by every task; beyond
-    ``ITEMS_PER_PASS`` of them, the documents are read once for each further block of items.
+    one of them does. An opening shared by a clear share of all items is no part of them. Empty tables give no rows; other columns are not read. Every task holds a block of items of about
+    ``LETTERS_PER_PASS``; the documents are read once for each block.
     """
     spark = documents.sparkSession
     held = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
-    rows = without_instruction(sorted((r["item_id"], r["text"]) for r in held.toLocalIterator()))
+    held = materialize(without_instruction(held))
+    letters = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = int(letters // LETTERS_PER_PASS) + 1
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     found = None
-    for begin in range(0, max(len(rows), 1), ITEMS_PER_PASS):
-        shared = spark.sparkContext.broadcast(rows[begin : begin + ITEMS_PER_PASS])
+    for k in range(passes):
+        mine = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        shared = spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in mine.collect()))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             patterns = Patterns(shared.value)

@@ -1,9 +1,10 @@
 """Texts cut off by field limits.
 
 A trie over the corpus vocabulary is kept as a distributed table of its nodes (every prefix of a known word). A final
-token that is no known word but an inner node of the trie was cut in mid-word. For a final token that is a word, the
-corpus tells how often the same context ends a sentence or a text and how often it goes on. Both are weighed
-with length evidence: the length at which a source cuts shows up as a pile of texts of exactly that length.
+token that is no known word but an inner node of the trie was cut in mid-word; words that only ever stand at the end of texts are
+known by the number of texts that end in the same phrase. Only for other final tokens the corpus is asked how
+often the same context ends a text and how often it goes on, to find cuts between words. Length evidence, the
+length at which a source piles up open ends, lets a less sure end count as a cut.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ BACKOFF = 2.0
 #: A text is cut if its end is likelier a cut than this.
 MAX_END = 0.12
 MAX_END_AT_LIMIT = 0.5
+#: A phrase ends texts by itself if that many other texts end with it, and this part of its occurrences.
+CLOSING_TEXTS, CLOSING_PART = 2, 0.5
 #: A token is odd after its two predecessors if it follows them in a smaller part of cases.
-RARE_NEXT = 0.2
+RARE_NEXT = 0.05
 #: A length is a source's limit if that many texts, and this many times the neighbouring lengths' mean, have it.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_SHARE = 5, 8.0, 0.003
 LIMIT_WINDOW = 20
@@ -144,9 +147,10 @@ def source_limits(texts: DataFrame) -> DataFrame:
 
 
 def judge_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``(doc_id, source, open, at_limit, p_end, cut_word, truncated)`` of every document with a text.
+    """``(doc_id, source, open, at_limit, p_end, cut_word, cut_between, truncated)`` of every document with a text.
 
-    ``truncated`` is false for texts that end by themselves, and null for null and blank texts, which are no case. A null
+    ``cut_word`` tells of a cut in mid-word, which the trie finds, ``cut_between`` of one behind a whole word, or in a name or number, in mid-sentence;
+    ``truncated`` is either. It is false for texts that end by themselves, and null for null and blank texts, which are no case. A null
     source is a source of its own. Texts are read whole, and equal texts count once in the statistics; repeated documents
     stay repeated; an empty table gives no rows; other columns are not read.
     """
@@ -171,8 +175,10 @@ def judge_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     for k in range(3):
         p = (F.greatest(F.col(f"ends{k}") - 1, F.lit(0)) + BACKOFF * p) / (F.greatest(F.col(f"all{k}") - 1, F.lit(0)) + BACKOFF)
 
-    # a last token that the two tokens before it hardly ever have after them
     odd = F.col("all2") < RARE_NEXT * F.col("all3")
+    # a phrase of two tokens that ends other texts as well, and mostly, and is no rarity; many texts cut in the same word are one
+    others = F.greatest(F.col("ends1") - 1, F.lit(0))
+    closing = (others >= CLOSING_TEXTS) & (F.col("ends1") >= CLOSING_PART * F.col("all1")) & ~F.coalesce(odd, F.lit(False))
 
     # the trie: words with the number of texts that hold them before their last token, and all their prefixes as inner nodes
     words = scanned.where(F.col("tag") == _WORD).groupBy("word").agg(F.sum("n").alias("texts")).where(F.col("texts") >= KNOWN_TEXTS)
@@ -183,13 +189,15 @@ def judge_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     partial = lower.select("text_key", F.lower("token").alias("node")).join(nodes, "node").where("not terminal and below > 0").select("text_key", F.lit(True).alias("cut_word"))
 
     limits = source_limits(docs.where("not blank")).withColumn("at_limit", F.lit(True))
-    judged = finals.select("text_key").join(rates, "text_key", "left").join(partial, "text_key", "left").select("text_key", F.coalesce(p, F.lit(0.5)).alias("p_end"), F.coalesce("cut_word", F.lit(False)).alias("cut_word"), F.coalesce(odd, F.lit(False)).alias("odd"))
+    met = finals.select("text_key").join(rates, "text_key", "left").join(partial, "text_key", "left")
+    judged = met.select("text_key", F.coalesce(p, F.lit(0.5)).alias("p_end"), (F.coalesce("cut_word", F.lit(False)) & ~F.coalesce(closing, F.lit(False))).alias("cut_word"), F.coalesce(odd, F.lit(False)).alias("odd"))
     out = docs.drop("text").join(judged, "text_key", "left").join(limits, ["source", "n_chars"], "left")
-    at_limit = F.coalesce("at_limit", F.lit(False))
-    cut = F.col("open") & ((F.coalesce("odd", F.lit(False)) & (F.col("cut_word") | at_limit)) | (F.col("p_end") < F.when(at_limit, MAX_END_AT_LIMIT).otherwise(MAX_END)))
+    at_limit, in_word = F.coalesce("at_limit", F.lit(False)), F.col("open") & F.coalesce("cut_word", F.lit(False))
+    unlikely = F.coalesce(F.col("p_end") < F.when(at_limit, MAX_END_AT_LIMIT).otherwise(MAX_END), F.lit(False))
+    between = F.col("open") & ~in_word & (unlikely | (at_limit & F.coalesce("odd", F.lit(False))))
     return out.select(
-        "doc_id", F.nullif("source", F.lit("")).alias("source"), "open", at_limit.alias("at_limit"), "p_end", F.coalesce("cut_word", F.lit(False)).alias("cut_word"),
-        F.when(~F.col("blank"), F.coalesce(cut, F.lit(False))).alias("truncated"),
+        "doc_id", F.nullif("source", F.lit("")).alias("source"), "open", at_limit.alias("at_limit"), "p_end", in_word.alias("cut_word"), between.alias("cut_between"),
+        F.when(~F.col("blank"), in_word | between).alias("truncated"),
     )
 
 

@@ -413,7 +413,7 @@ def test_leaks_in_odd_cases(spark, monkeypatch):
     docs = [(1, None), (2, ""), (3, "read this and answer"), (4, "zz " * 30_000 + long.replace("w3 ", "W3; ")), (5, long), (5, long), (None, long), (6, " ".join(f"a{n}" for n in range(10)))]
     d, i = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, item_id int"), spark.createDataFrame([(a, b, 2) for a, b in items], "item_id long, text string, doc_id int")
     assert {tuple(r) for r in find_leaks(d, i).collect()} == {(4, 9), (5, 9)}
-    monkeypatch.setattr("drayline.llm.leaks.ITEMS_PER_PASS", 2)
+    monkeypatch.setattr("drayline.llm.leaks.LETTERS_PER_PASS", 150)
     assert {tuple(r) for r in find_leaks(d, i).collect()} == {(4, 9), (5, 9)}
     assert find_leaks(d, i.limit(0)).count() == find_leaks(d.limit(0), i).count() == 0
 
@@ -426,7 +426,7 @@ def test_only_the_instruction_is_cut_off_items(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {(k, k) for k in range(6)} | {(91, 8)}
     assert {tuple(r) for r in find_leaks(d, i).collect()} == want
-    monkeypatch.setattr("drayline.llm.leaks.ITEMS_PER_PASS", 2)
+    monkeypatch.setattr("drayline.llm.leaks.LETTERS_PER_PASS", 150)
     assert {tuple(r) for r in find_leaks(d, i).collect()} == want
 
 
