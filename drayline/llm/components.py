@@ -11,37 +11,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drayline.plans.materialize import materialize
+from drayline.plans.materialize import materialize, release
 
-#: A node with more than this share of all edges is a hub; there are at most twice the inverse of it.
+#: A node with more than this share of all edges is a hub; there are at most twice the inverse of it. With fewer edges than
+#: MIN_HUB_EDGES no node is worth a plan of its own; the result is the same.
 HUB_SHARE = 1 / 2000
 MIN_HUB_EDGES = 20_000
-MAX_ROUNDS = 100
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Adds ``m``, the least of ``u`` and its neighbours ``v``, to every edge (u, v)."""
+def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Adds ``m``, the least of ``u`` and its neighbours ``v``, to every edge (u, v); and the tables that this needs."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     limit = max(MIN_HUB_EDGES, int(total * HUB_SHARE))
     if total <= limit:
-        return edges.join(least.drop("n"), "u")
+        return edges.join(least.drop("n"), "u"), []
     hubs = materialize(least.where(F.col("n") > limit).drop("n"))
     if hubs.isEmpty():
-        return edges.join(least.drop("n"), "u")
+        return edges.join(least.drop("n"), "u"), [hubs]
     named = F.broadcast(hubs)
-    return edges.join(named, "u").unionByName(edges.join(named, "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u"))
+    return edges.join(named, "u").unionByName(edges.join(named, "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u")), [hubs]
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _with_least(down, total)
-    moved = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _round(edges: DataFrame, total: int) -> DataFrame:
+    """Large-star, then small-star; ``moved`` tells of edges that came from another place, without any the stars are done."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked, first = _with_least(both, 2 * total)
+    large = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+    # every edge leads from the greater to the least now
+    linked, second = _with_least(large, total)
+    off = F.col("v") != F.col("m")
+    pair = F.when(off, F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v"))))
+    small = linked.select(F.explode(pair).alias("e"), (F.col("moved") | off).alias("moved")).select("e.u", "e.v", "moved").where("u <> v")
+    fresh = materialize(small.groupBy("u", "v").agg(F.max("moved").alias("moved")))
+    release(*first, *second)
+    return fresh
 
 
 def connected_components(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
@@ -55,22 +58,15 @@ def connected_components(pairs: DataFrame, left: str = "left_id", right: str = "
     ids = materialize(ids.where("u is not null and v is not null and trim(u) <> '' and trim(v) <> ''").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     selves = ids.where("u = v").select("u")
     edges = ids.where("u <> v")
-
-    def state(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    before = state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
-        edges = materialize(_small_star(_large_star(edges, before[0]).distinct(), before[0]))
-        after = state(edges)
-        if after == before:
+    total, before = edges.count(), None
+    while total:
+        edges = _round(edges, total)
+        if before is not None:
+            release(before)
+        before = edges
+        if edges.where("moved").isEmpty():
             break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+        total = edges.count()
     grouped = edges.select(F.col("u").alias("record_id"), F.col("v").alias("group_id"))
     roots = edges.select(F.col("v").alias("record_id")).distinct().withColumn("group_id", F.col("record_id"))
     linked = grouped.unionByName(roots)
