@@ -159,6 +159,8 @@ def judge_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     body = F.regexp_replace("text", r"(?U)\s+$", "")
     docs = docs.withColumn("open", ~F.col("blank") & ~body.rlike(TERMINATORS)).withColumn("n_chars", F.length("text"))
 
+    # the texts are read once for their ends and once for their words; everything else works on their marks
+    marks = materialize(docs.drop("text"))
     once = docs.where("not blank").groupBy("text_key").agg(F.first("text").alias("text"), F.first("open").alias("open"))
     scanned = materialize(once.mapInPandas(scan_texts, _SCAN))
     # every occurrence of every context: does a text end there without an end mark, or does it go on or end a sentence
@@ -188,10 +190,10 @@ def judge_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lower = finals.where(F.col("token").rlike(r"^\p{Ll}[\p{L}'’]*$"))
     partial = lower.select("text_key", F.lower("token").alias("node")).join(nodes, "node").where("not terminal and below > 0").select("text_key", F.lit(True).alias("cut_word"))
 
-    limits = source_limits(docs.where("not blank")).withColumn("at_limit", F.lit(True))
+    limits = source_limits(marks.where("not blank")).withColumn("at_limit", F.lit(True))
     met = finals.select("text_key").join(rates, "text_key", "left").join(partial, "text_key", "left")
     judged = met.select("text_key", F.coalesce(p, F.lit(0.5)).alias("p_end"), (F.coalesce("cut_word", F.lit(False)) & ~F.coalesce(closing, F.lit(False))).alias("cut_word"), F.coalesce(odd, F.lit(False)).alias("odd"))
-    out = docs.drop("text").join(judged, "text_key", "left").join(limits, ["source", "n_chars"], "left")
+    out = marks.join(judged, "text_key", "left").join(limits, ["source", "n_chars"], "left")
     at_limit, in_word = F.coalesce("at_limit", F.lit(False)), F.col("open") & F.coalesce("cut_word", F.lit(False))
     unlikely = F.coalesce(F.col("p_end") < F.when(at_limit, MAX_END_AT_LIMIT).otherwise(MAX_END), F.lit(False))
     between = F.col("open") & ~in_word & (unlikely | (at_limit & F.coalesce("odd", F.lit(False))))
