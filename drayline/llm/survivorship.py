@@ -208,13 +208,14 @@ def judge_facts(members: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[D
     """
     claims = materialize(_claims(members, fields))
     source = F.coalesce("source", F.lit(""))
-    facts = claims.groupBy("cluster_id", "field_name", "fact").agg(
+    facts = materialize(claims.groupBy("cluster_id", "field_name", "fact").agg(
         F.max(_well_formed(F.col("field_name"), F.col("value"))).alias("well"),
         F.min(F.col("value").rlike(_DAMAGE)).alias("damaged"),
         F.max("updated_at").alias("last_at"),
         F.sort_array(F.collect_set(source)).alias("affirm"),
-    )
+    ))
     pieced = materialize(_with_pieces(facts))
+    release(facts)
     # of each cluster and field how its well-formed values begin
     begins = pieced.where("well").groupBy("cluster_id", "field_name").agg(F.min(F.substring("fact", 1, 2)).alias("low"), F.max(F.substring("fact", 1, 2)).alias("high"))
     often = pieced.groupBy("field_name", "fact").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_CLUSTERS).drop("n")
