@@ -159,7 +159,8 @@ def run_migration(normalized: DataFrame, job: str, out: str) -> dict[str, DataFr
     Exceptions get the entity they are about, with its confidence.
     """
     spark = normalized.sparkSession
-    entities = materialize(resolve_entities(normalized).withColumn("job_id", F.lit(job)))
+    records = materialize(normalized.select("id", "entity_type", "fields"))
+    entities = materialize(resolve_entities(records).withColumn("job_id", F.lit(job)))
     proposals = propose_mappings(entities)
     raised = mapping_exceptions(entities)
     lineage = exception_lineage(raised, entities).select("job_id", F.col("exception_id").alias("id"), F.col("entity_id").alias("resolved_entity_id"), "confidence", F.coalesce("entity_id", F.lit("unknown")).alias("source_record"))
@@ -176,7 +177,7 @@ def run_migration(normalized: DataFrame, job: str, out: str) -> dict[str, DataFr
     audit = event("CustomerResolved", {"resolvedCount": F.col("entities"), "autoMerged": F.col("merged")}).unionByName(event("JobCompleted", {"exceptionCount": F.col("exceptions")}))
     raised_events = exceptions.select(F.concat(F.lit("ExceptionRaised-"), "id").alias("id"), F.lit("ExceptionRaised").alias("type"), F.lit("pipeline").alias("actor"), F.create_map(F.lit("type"), "exception_type", F.lit("severity"), "severity").alias("payload"), F.col("created_at").alias("at"))
     persist_job(out, job, {"resolved_entities": entities, "proposals": proposals, "exceptions": exceptions, "audit_events": audit.unionByName(raised_events)})
-    release(entities, exceptions)
+    release(records, entities, exceptions)
     return {name: spark.read.parquet(f"{out}/{name}") for name in ("resolved_entities", "proposals", "exceptions", "audit_events")}
 
 

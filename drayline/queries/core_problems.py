@@ -96,7 +96,29 @@ with target as (
   select table_name, record_id, case when n = 0 then 'missing' when gone then 'deleted' else 'late' end as reason, strftime(t, '%Y-%m') as period from judged where ok is not true
 )
 """
+#: Lines as data, cut into values: separators outside quotes become unit separators, then each value is judged.
+_P2 = r"""
+with d as (select distinct l.source_file_id, l.line_no, f.kind, l.line, trim(l.line, E' \t\r') v from raw_lines l join source_files f on f.id = l.source_file_id where l.line is not null and l.line_no <> 1),
+k as (select * from d where v <> '' and not (kind = 'transfer-spreadsheet' and starts_with(v, '#')) and not (kind = 'quickbooks-export' and regexp_matches(v, '^[ \t\r"]*(?i:total|report)([^0-9A-Za-z_]|$)'))),
+s as (select kind, count(*) want, sum(width) wide from source_columns group by 1),
+c as (select k.*, want, wide, case when kind = 'legacy-export' then null
+  else string_split(array_to_string(list_transform(string_split(v, '"'), lambda p, i: case when i % 2 = 0 then p when kind = 'transfer-spreadsheet' then regexp_replace(p, ' *\t[ \t]*| {2,}[ \t]*', chr(31), 'g') else replace(p, ',', chr(31)) end), '"'), chr(31)) end cells from k join s using (kind)),
+w as (select *, case when kind = 'legacy-export' then list_transform((select list({'a': a, 'w': width} order by pos) from (select pos, width, 1 + coalesce(sum(width) over (order by pos rows between unbounded preceding and 1 preceding), 0)::int a from source_columns where kind = 'legacy-export')), lambda x: trim(substr(rtrim(line, E' \t\r'), x.a, x.w), E' \t\r'))
+  else list_transform(cells, lambda x: trim(x, E' \t\r')) end vals from c),
+f as (select *, kind <> 'legacy-export' and ((length(v) - length(replace(v, '"', ''))) % 2 = 1 or len(list_filter(vals, lambda x: contains(x, '"') and not regexp_matches(x, '^"([^"]|"")*"$'))) > 0) bad_quote,
+  case when kind = 'legacy-export' then length(rtrim(line, E' \t\r')) > wide else len(vals) <> want end bad_count,
+  list_transform(vals, lambda x: case when kind <> 'legacy-export' and starts_with(x, '"') then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) plain from w),
+t as (select source_file_id, line_no, list({'p': pos, 't': value_type, 'r': required} order by pos) spec from f join source_columns using (kind) group by all),
+x as (select f.*, list_zip(list_transform(plain, lambda y: trim(y, E' \t\r')), spec) z from f join t using (source_file_id, line_no)),
+r as (select *, len(list_filter(z, lambda y: y[2] is not null and case when coalesce(y[1], '') = '' then y[2].r
+  when y[2].t = 'integer' then not regexp_matches(y[1], '^-?[0-9]+$') when y[2].t = 'decimal' then not regexp_matches(y[1], '^-?[0-9]+(\.[0-9]+)?$')
+  when y[2].t = 'date_ymd' then not (regexp_matches(y[1], '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and try_cast(y[1] as date) is not null)
+  when y[2].t = 'date_mdy' then not (regexp_matches(y[1], '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') and try_cast(right(y[1], 4) || '-' || left(y[1], 2) || '-' || substr(y[1], 4, 2) as date) is not null) else false end)) > 0 bad_value from x),
+j as (select *, case when bad_quote then 'quoting' when bad_count then 'column_count' when bad_value then 'invalid_value' end reason from r)"""
+
 SQL = {
+    "p2_found": _P2 + " select source_file_id, line_no, reason from j where reason is not null",
+    "p2_loaded": _P2 + " select distinct source_file_id, line_no, kind, array_to_string(plain, chr(31)) as loaded from j where reason is null",
     "p4_orders": "select kind as source, date_order from source_systems",
     "p6_found": _ORPHANS + "select distinct table_name, record_id, reason, period from orphan",
     "p6_report": _ORPHANS + "select table_name, period, reason, count(*) as orphans from orphan group by all",

@@ -223,7 +223,10 @@ def _lines(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
     return read_table(spark, root, "raw_lines").join(files, "source_file_id")
 
 
-@_query()
+@_query(r"""
+with l as (select r.source_file_id, r.line_no, case when (length(line) - length(replace(line, '"', ''))) % 2 = 1 then line || '"' else line end v from raw_lines r join source_files f on f.id = r.source_file_id where kind in ('routepro-csv', 'quickbooks-export')),
+c as (select *, list_transform(string_split(array_to_string(list_transform(string_split(v, '"'), lambda p, i: case when i % 2 = 0 then p else replace(p, ',', chr(31)) end), '"'), chr(31)), lambda x: replace(regexp_replace(x, '"(([^"]|"")*)"', '\1', 'g'), '""', '"')) c from l)
+select source_file_id, line_no, len(c) as n_cells, array_to_string(c, chr(31)) as cells, array_to_string(list_transform(c, lambda x: case when regexp_matches(x, '[",\n]') then '"' || replace(x, '"', '""') || '"' else x end), ',') as rewritten from c""")
 def csv_cells_of_lines(spark: SparkSession, root: str) -> DataFrame:
     lines = _lines(spark, root, "routepro-csv", "quickbooks-export").withColumn("cells", csv_cells(F.col("line")))
     return lines.select("source_file_id", "line_no", F.size("cells").alias("n_cells"), F.array_join("cells", "\x1f").alias("cells"), csv_line(F.col("cells")).alias("rewritten"))
