@@ -24,15 +24,15 @@ from drayline.plans.skew import parallelism_of, salted_join
 
 #: Street kinds and directions with their abbreviations, units, and parts of town names.
 KINDS = {
-    "st": "street str", "ave": "avenue av aven", "rd": "road", "blvd": "boulevard boul bvd", "dr": "drive drv", "ln": "lane la", "ct": "court crt", "pl": "place plc", "ter": "terrace terr",
-    "sq": "square sqr", "pkwy": "parkway pky parkwy", "hwy": "highway hiway hway", "cir": "circle circ", "way": "wy", "trl": "trail", "aly": "alley", "cres": "crescent", "row": "", "loop": "", "walk": "",
+    "st": ("street", "str"), "ave": ("avenue", "av", "aven"), "rd": ("road",), "blvd": ("boulevard", "boul", "bvd"), "dr": ("drive", "drv"), "ln": ("lane", "la"), "ct": ("court", "crt"), "pl": ("place", "plc"), "ter": ("terrace", "terr"),
+    "sq": ("square", "sqr"), "pkwy": ("parkway", "pky", "parkwy"), "hwy": ("highway", "hiway", "hway"), "cir": ("circle", "circ"), "way": ("wy",), "trl": ("trail",), "aly": ("alley",), "cres": ("crescent",), "row": (), "loop": (), "walk": (),
 }
-DIRECTIONS = {"n": "north no nor", "s": "south so sou", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
-TOWN_PARTS = {"fort": "ft", "port": "pt", "heights": "hts hgts hghts", "junction": "jct jctn junc", "saint": "st", "mount": "mt", "springs": "spgs", "north": "n", "south": "s", "east": "e", "west": "w"}
-_KIND = {w: k for k, others in KINDS.items() for w in (k, *others.split())}
+DIRECTIONS = {"n": ("north", "no", "nor"), "s": ("south", "so", "sou"), "e": ("east",), "w": ("west",), "ne": ("northeast",), "nw": ("northwest",), "se": ("southeast",), "sw": ("southwest",)}
+TOWN_PARTS = {"fort": ("ft",), "port": ("pt",), "heights": ("hts", "hgts", "hghts"), "junction": ("jct", "jctn", "junc"), "saint": ("st",), "mount": ("mt",), "springs": ("spgs",), "north": ("n",), "south": ("s",), "east": ("e",), "west": ("w",)}
+_KIND = {w: k for k, others in KINDS.items() for w in (k, *others)}
 _FULL_KIND = {w: k for w, k in _KIND.items() if len(w) >= 5}
-_DIRECTION = {w: k for k, others in DIRECTIONS.items() for w in (k, *others.split())}
-_TOWN_PART = {w: k for k, others in TOWN_PARTS.items() for w in others.split()}
+_DIRECTION = {w: k for k, others in DIRECTIONS.items() for w in (k, *others)}
+_TOWN_PART = {w: k for k, others in TOWN_PARTS.items() for w in others}
 _BOX = re.compile(r"\b(?:p\.?\s*o\.?\s*box|pob|post office box|box)\s*(?:no\.?|#)?\s*([0-9]+)\b")
 _UNIT = re.compile(r"\b(?:suite|ste|unit|apartment|apt|room|rm)\b\.?\s*#?\s*([0-9]+\s?[a-z]?|[a-z])\b|#([0-9]+[a-z]?)(?=\s*(?:$|[,/;]))")
 _ZIP = re.compile(r"\b([0-9]{5})(?:-[0-9]{4})?\b")

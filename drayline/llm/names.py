@@ -38,14 +38,14 @@ GENERATIONS = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii
 REMARKS = r"\([^)]*\)|\[[^\]]*\]|\bc/o\b|\bdo not mail\b|\bdo not call\b|/\s*billing\b|\bsee file\b|\bsee notes?\b|\bold acct\b|\bmain office\b|\bacct:|\battn:?"
 #: Everyday and foreign forms of first names, by formal name.
 NICKNAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex sandy sasha xander alec", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny",
-    "charles": "charlie chuck chas", "christopher": "chris kit", "christine": "chris tina christy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie debra",
-    "dorothy": "dot dottie dolly", "edward": "ed eddie ned ted teddy", "elizabeth": "liz beth betty lizzie eliza betsy", "francisco": "paco pancho frank cisco", "gregory": "greg",
-    "guadalupe": "lupe lupita", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "john": "jack johnny", "jose": "pepe", "joseph": "joe joey", "jurgen": "juergen",
-    "katherine": "kate katie kathy kat catherine", "kenneth": "ken kenny", "lawrence": "larry laurie laurence", "margaret": "maggie meg peggy marge", "matthew": "matt",
-    "michael": "mike mick mickey", "mohammed": "mo muhammad mohamed mohammad", "nicholas": "nick nico nicky", "patricia": "pat patty trish tricia", "patrick": "pat paddy",
-    "rebecca": "becky becca", "rene": "", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie", "samuel": "sam", "stephen": "steve steven", "susannah": "sue susie suzie susanna",
-    "theodore": "theo ted teddy", "thomas": "tom tommy", "victoria": "vicky tori vicki", "william": "bill will liam billy willy", "zachary": "zach zack zac",
+    "abigail": ("abby", "abbie", "gail"), "alexander": ("alex", "sandy", "sasha", "xander", "alec"), "andrew": ("andy", "drew"), "anthony": ("tony",), "barbara": ("barb", "babs"), "benjamin": ("ben", "benny"),
+    "charles": ("charlie", "chuck", "chas"), "christopher": ("chris", "kit"), "christine": ("chris", "tina", "christy"), "daniel": ("dan", "danny"), "david": ("dave", "davy"), "deborah": ("deb", "debbie", "debra"),
+    "dorothy": ("dot", "dottie", "dolly"), "edward": ("ed", "eddie", "ned", "ted", "teddy"), "elizabeth": ("liz", "beth", "betty", "lizzie", "eliza", "betsy"), "francisco": ("paco", "pancho", "frank", "cisco"), "gregory": ("greg",),
+    "guadalupe": ("lupe", "lupita"), "james": ("jim", "jimmy", "jamie"), "jennifer": ("jen", "jenny", "jenn"), "john": ("jack", "johnny"), "jose": ("pepe",), "joseph": ("joe", "joey"), "jurgen": ("juergen",),
+    "katherine": ("kate", "katie", "kathy", "kat", "catherine"), "kenneth": ("ken", "kenny"), "lawrence": ("larry", "laurie", "laurence"), "margaret": ("maggie", "meg", "peggy", "marge"), "matthew": ("matt",),
+    "michael": ("mike", "mick", "mickey"), "mohammed": ("mo", "muhammad", "mohamed", "mohammad"), "nicholas": ("nick", "nico", "nicky"), "patricia": ("pat", "patty", "trish", "tricia"), "patrick": ("pat", "paddy"),
+    "rebecca": ("becky", "becca"), "rene": (), "richard": ("rick", "dick", "rich", "ricky"), "robert": ("bob", "rob", "bobby", "robbie"), "samuel": ("sam",), "stephen": ("steve", "steven"), "susannah": ("sue", "susie", "suzie", "susanna"),
+    "theodore": ("theo", "ted", "teddy"), "thomas": ("tom", "tommy"), "victoria": ("vicky", "tori", "vicki"), "william": ("bill", "will", "liam", "billy", "willy"), "zachary": ("zach", "zack", "zac"),
 }
 #: A token is part of the lexicon if it stands in this part of the names; so there are few of them.
 LEXICON_SHARE, LEXICON_LEAST = 0.0015, 4
@@ -141,7 +141,7 @@ class NameReader:
         """``trades``: words of trade, commonest first. ``partners``: words that nearly always stand beside a word."""
         formal: dict[str, set[str]] = defaultdict(set)
         for name, others in NICKNAMES.items():
-            for n in (name, *others.split()):
+            for n in (name, *others):
                 formal[n].add(name)
         self.formal = {k: tuple(sorted(v)) for k, v in formal.items()}
         # abbreviations, slips and joined words that are frequent themselves are no words of their own

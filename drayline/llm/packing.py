@@ -9,11 +9,13 @@ its container from its rank among the items of its length.
 from __future__ import annotations
 
 import base64
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +32,17 @@ _SHIFT = 40
 
 
 def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every document, each once; null and empty texts have no tokens. Whole texts are read."""
+    """``(doc_id, n_tokens)`` of every document, each once; null and empty texts have no tokens. Whole texts are read.
+
+    The vocabulary is read where the query is started, and shipped to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(shipped), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         tokenizer = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
