@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drayline.functions.scalars import histogram_bucket
@@ -75,9 +75,10 @@ def confidence_histogram(rows: DataFrame, column: str = "confidence") -> DataFra
     spark = rows.sparkSession
     counts = rows.where(F.col(column).isNotNull()).groupBy(histogram_bucket(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"))
     dense = spark.range(10).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = counts.agg(F.sum("n").alias("total"))
+    # ten rows
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     label = F.format_string("%.1f-%.1f", F.col("bucket") / 10, (F.col("bucket") + 1) / 10)
-    return dense.crossJoin(F.broadcast(total)).select("bucket", label.alias("label"), "n", F.coalesce(F.round(F.try_divide(F.col("n"), F.col("total")), 6), F.lit(0.0)).alias("part"))
+    return dense.withColumn("total", total).select("bucket", label.alias("label"), "n", F.coalesce(F.round(F.try_divide(F.col("n"), F.col("total")), 6), F.lit(0.0)).alias("part"))
 
 
 def entity_breakdown(entities: DataFrame) -> DataFrame:
@@ -86,11 +87,17 @@ def entity_breakdown(entities: DataFrame) -> DataFrame:
 
 
 def trailing_counts(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Events per key in the trailing window that ends with each event, itself included."""
-    from pyspark.sql import Window
+    """Events per key in the trailing window that ends with each event, itself included.
 
-    window = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return events.withColumn("trailing", F.count("*").over(window))
+    A key of any size is split by time: each event is counted within its own stretch of the window's length, and once more stands,
+    only to be counted, in the next one. Events without a key are one key, those without a time are counted among themselves.
+    """
+    span = seconds * 1_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    stretch = F.floor(micros / span)
+    placed = events.withColumns({"_at": micros, "_place": F.explode(F.when(micros.isNull(), F.array(F.struct(stretch.alias("part"), F.lit(True).alias("own")))).otherwise(F.array(F.struct(stretch.alias("part"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("part"), F.lit(False).alias("own")))))})
+    window = Window.partitionBy(key, "_place.part").orderBy("_at").rangeBetween(-span, Window.currentRow)
+    return placed.withColumn("trailing", F.count("*").over(window)).where("_place.own").drop("_at", "_place")
 
 
 def newest_first(rows: DataFrame, at: str, key: str = "id") -> DataFrame:

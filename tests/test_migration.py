@@ -9,7 +9,7 @@ from drayline.functions import scalars as S
 from drayline.functions.service_codes import map_service_code
 from drayline.operators import migrate as M
 from drayline.operators import report as R
-from drayline.operators.entities import confidence_histogram, entity_page, entity_view, has_output, with_first_of
+from drayline.operators.entities import confidence_histogram, entity_page, entity_view, has_output, trailing_counts, with_first_of
 from drayline.operators.normalize import flag_rows, normalize_records
 from drayline.operators.resolve import block_customers, cluster_labels, customer_clusters, similar_pairs
 from drayline.sources import legacy
@@ -246,6 +246,14 @@ def test_pages_and_histograms(spark):
     assert {r.n for r in confidence_histogram(e.limit(0)).collect()} == {0}
 
 
+def test_trailing_counts(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "a", "b", None]), rng.randrange(0, 400)) for k in range(300)] + [(300, "a", 100), (301, "a", 100), (302, "a", None), (303, "a", None)]
+    df = spark.createDataFrame(rows, "id int, key string, at int").withColumn("at", F.timestamp_seconds("at"))
+    got = {r.id: r.trailing for r in trailing_counts(df, "key", "at", 50).collect()}
+    assert got == {i: sum(q == k and ((t is None) == (u is None)) and (t is None or t - 50 <= u <= t) for _, q, u in rows) for i, k, t in rows}
+
+
 def test_intake_as_a_stream(spark, tmp_path):
     lines = spark.createDataFrame([("F", 1, "h"), ("F", 2, "a,1"), ("F", 3, "a,x")], "source_file_id string, line_no long, line string")
     lines.write.parquet(str(tmp_path / "in"))
