@@ -45,19 +45,25 @@ def resolve_entities(normalized: DataFrame) -> DataFrame:
     """``(id, entity_type, cluster_id, confidence, merged, canonical_fields)``.
 
     Customers become one entity per cluster, with the fields of its canonical record; all other records pass through. Of a
-    customer's fields only those of ``CUSTOMER_FIELDS`` are kept. Equal records count once; records without an identifier are left out.
+    customer's fields only those of ``CUSTOMER_FIELDS`` are kept. Equal records count once; records without an identifier are left
+    out, without a type they are ``unknown``.
     """
-    given = normalized.where("id is not null")
+    given = normalized.where("id is not null").withColumns({"entity_type": F.coalesce("entity_type", F.lit("unknown")), "fields": F.coalesce("fields", F.create_map().cast("map<string,string>"))})
     value = {f: F.try_element_at("fields", F.lit(f)) for f in CUSTOMER_FIELDS if f != "id"}
     shaped = given.where("entity_type = 'customer'").select("id", *[(F.coalesce(v, F.lit("")) if f in ALWAYS else v).alias(f) for f, v in value.items()])
-    others = given.where("entity_type <> 'customer'").dropDuplicates(["id"]).select(
+    content = F.to_json(F.array_sort(F.map_entries("fields")))
+    others = given.where("entity_type <> 'customer'").withColumn("content", content).dropDuplicates(["id", "entity_type", "content"]).select(
         F.concat(F.lit("e-"), "id").alias("id"), "entity_type", F.concat(F.lit("c-"), "id").alias("cluster_id"), F.lit(1.0).alias("confidence"), F.lit(False).alias("merged"), F.col("fields").alias("canonical_fields")
     )
-    customers = materialize(shaped.dropDuplicates(["id"]))
+    customers = materialize(shaped.distinct())
     if customers.isEmpty():
         return others
     clusters = customer_clusters(customers)
-    joined = clusters.join(customers.withColumnRenamed("id", "canonical_id"), "canonical_id")
+    # of an identifier with several records, the one with the longest name and email
+    kept = [f for f in CUSTOMER_FIELDS if f != "id"]
+    longest = F.struct((F.length("name") + F.length(F.coalesce("email", F.lit("")))).alias("size"), *kept)
+    one = customers.groupBy(F.col("id").alias("canonical_id")).agg(F.max(longest).alias("r")).select("canonical_id", *[f"r.{f}" for f in kept])
+    joined = clusters.join(one, "canonical_id")
     name = F.concat(F.lit("c-"), "cluster_id")
     merged = joined.select(
         name.alias("id"), F.lit("customer").alias("entity_type"), name.alias("cluster_id"), "confidence", "merged",

@@ -159,6 +159,26 @@ def test_exceptions_of_agreements_without_a_code(spark):
     assert {(r.id, r.exception_type, tuple(r.evidence)) for r in M.plain_mapping_exceptions(e).collect()} == {("exc-d", "low_mapping_confidence", ("???", "0.3")), ("exc-a", "unmapped_service_code", ("",)), ("exc-e", "unmapped_service_code", (" ",))}
 
 
+def test_empty_tables_nulls_and_further_columns(spark):
+    none = spark.createDataFrame([], "id string, entity_type string, fields map<string,string>, flags array<struct<field:string,note:string>>")
+    assert M.resolve_entities(none).count() == 0 and M.normalize_events(none).count() == 0
+    entities = spark.createDataFrame([], "job_id string, id string, entity_type string, canonical_fields map<string,string>, confidence double, code string, m string")
+    assert M.propose_mappings(entities).count() == 0 and M.mapping_exceptions(entities).count() == 0 and M.plain_mapping_exceptions(entities).count() == 0
+    assert M.valid_count(M.propose_mappings(entities), M.mapping_exceptions(entities)).first().valid == 0
+    sourced = spark.createDataFrame([], "source string, confidence double")
+    assert R.breakdown(sourced, sourced, sourced, "source").count() == 0 and R.summary(sourced, sourced, sourced).first()[:] == (0, 0, 0, 0.0, 0.0)
+    lines = R.report_lines(R.summary(sourced, sourced, sourced), R.breakdown(sourced, sourced, sourced, "source"), R.breakdown(sourced.withColumn("entity_type", F.lit("x")), sourced.withColumn("entity_type", F.lit("x")), sourced.withColumn("entity_type", F.lit("x")), "entity_type"), confidence_histogram(sourced))
+    assert lines.groupBy("section").count().count() == 4
+    empty_lines = spark.createDataFrame([], "source_file string, line_no long, line string, row string, kind string")
+    assert legacy.intake(empty_lines, spark.createDataFrame([], "source_file string, kind string")).count() == 0
+    assert trailing_counts(spark.createDataFrame([], "k string, at timestamp"), "k", "at", 5).count() == 0
+    records = spark.createDataFrame([("r1", "customer", {"name": "x" * 20_000, "phone": None}), ("r2", None, None), (None, "site", {})], "id string, entity_type string, fields map<string,string>")
+    got = M.resolve_entities(records).collect()
+    assert {(r.id, r.entity_type, tuple(sorted(r.canonical_fields))) for r in got} == {("c-r1", "customer", ("address", "id", "name", "phone")), ("e-r2", "unknown", ())}
+    odd = R.breakdown(*[spark.createDataFrame([(None, 0.5), ("a", None)], "source string, confidence double")] * 3, "source").collect()
+    assert {(r.source, r.total, r.auto_mapped, r.exceptions, r.avg_confidence) for r in odd} == {(None, 1, 1, 1, 0.5), ("a", 1, 1, 1, 0.0)}
+
+
 def test_views_of_entities(spark):
     e = spark.createDataFrame([("j", "e1", "site", 0.5), ("j", "e2", "site", 0.5), ("k", "e3", "site", 0.5)], "job_id string, id string, entity_type string, confidence double")
     p = spark.createDataFrame([("j", "e1", 0.9, "m")], "job_id string, resolved_entity_id string, confidence double, mapped_fields string")
