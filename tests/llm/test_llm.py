@@ -10,10 +10,10 @@ import pytest
 from drayline.llm.addresses import located_pairs, read_address, resolve_addresses, town_key
 from drayline.llm.components import connected_components
 from drayline.llm.leaks import Patterns, find_leaks, words_of
-from drayline.llm.names import NameReader, linked_pairs, resolve_names, within
+from drayline.llm.names import NICKNAMES, NameReader, linked_pairs, resolve_names, within
 from drayline.llm.packing import count_tokens, enumerate_patterns, fit_counts, pack, packing_quality, plan_packing
 from drayline.llm.survivorship import canonical_fields, fit_sources, judge_facts, retained_values, surviving_values
-from drayline.llm.trie_join import neighbours, neighbours_of_all, trie_join
+from drayline.llm.trie_join import CUTS, FEW_CUTS, _keys, neighbours, neighbours_of_all, trie_join
 from drayline.llm.truncation import judge_endings, symbol, truncation_rates
 
 
@@ -86,9 +86,54 @@ def test_all_automata_at_once_find_what_each_finds():
         assert {(asked[i], words[j], int(d)) for i, j, d in zip(*neighbours_of_all(words, asked, most))} == want
 
 
+@pytest.mark.parametrize("cuts", [CUTS, FEW_CUTS])
+def test_neighbours_share_a_shard_and_few_others_do(cuts):
+    rng = random.Random(3)
+    base = ["".join(rng.choice(string.ascii_lowercase) for _ in range(n)) for n in range(4, 30) for _ in range(8)]
+    words = sorted({*base, *(slip(rng, w) for w in base), *(slip(rng, slip(rng, w)) for w in base)} - {""})
+    numbers, keys = _keys(np.array(words), np.zeros(len(words), np.uint64), cuts)
+    shards = {}
+    for i, k in set(zip(numbers.tolist(), keys.tolist())):
+        shards.setdefault(k, []).append(i)
+    together = {(min(i, j), max(i, j)) for s in shards.values() for i in s for j in s if i != j}
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(words)):
+            most = 2 if min(len(a), len(words[j])) >= 8 else 1
+            if min(len(a), len(words[j])) >= 4 and abs(len(a) - len(words[j])) <= most and (i, j) not in together:
+                assert not within(a, words[j], most), (a, words[j])
+    # pieces of two letters, as before, brought together about fifty times as many
+    assert len(together) < 12 * len(words)
+
+
+def test_large_shards_that_nobody_asks_are_left(spark, monkeypatch):
+    for name, most in (("SCOPE_WORDS", 0), ("BLOCK_ROWS", 5)):
+        monkeypatch.setattr(f"drayline.llm.trie_join.{name}", most)
+    words = [f"abcdefgh{x}{y}" for x in "ijklm" for y in "nopqr"]
+    index = spark.createDataFrame([("s", w) for w in [*words, "zyxwvuts"]] + [("t", w) for w in words], "scope string, word string")
+    asked = spark.createDataFrame([("s", "zyxwvutt"), ("s", "abcdefghin"), ("u", "abcdefghin")], "scope string, word string")
+    got = {(r.scope, r.a, r.b, r.d) for r in trie_join(index, asked).collect()}
+    assert got == {("s", "zyxwvutt", "zyxwvuts", 1)} | {("s", "abcdefghin", w, edit_distance("abcdefghin", w)) for w in words if w != "abcdefghin"}
+
+
 # --- names
 
 
+def test_unlisted_words_are_compared_with_few_listed_ones(monkeypatch):
+    rng, calls = random.Random(4), []
+    reader = NameReader(TRADES)
+    monkeypatch.setattr("drayline.llm.names.within", lambda a, b, most: calls.append(a) or within(a, b, most))
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(9)) for _ in range(200)]
+    for w in words:
+        reader.read(f"{w} & Sons Hauling LLC")
+        reader.read(f"Maria {w}")
+    # comparing each word with all listed ones takes over 50 calls a word
+    assert len(calls) < 2 * len(words)
+    slips = [slip(rng, slip(rng, w)) for w in [*TRADES, *NICKNAMES] for _ in range(20) if len(w) > 2]
+    for w in slips:
+        assert reader.near_trades.of(w) == [x for x in reader.trades if within(w, x, 2 if len(x) >= 8 else 1)]
+        assert reader.near_first.of(w) == [x for x in NICKNAMES if within(w, x, 2 if len(x) >= 9 else 1)]
+
+
 TRADES = "hauling masonry roofing dental group auto parts storage self landscaping masnry".split()
 
 
